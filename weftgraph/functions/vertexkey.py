@@ -16,6 +16,12 @@ def stripped(c: Column) -> Column:
     return F.regexp_replace(c, r"[^\p{L}\p{N}]+", "")
 
 
+def vertex_key(c: Column) -> Column:
+    """The lower-case key text of a formatted value; NULL where the value is NULL or holds no usable key."""
+    s = stripped(c)
+    return F.when(s.rlike(r"^[A-Za-z]{3}[0-9]{9}$"), F.lower(s))
+
+
 def vertex_code(c: Column) -> Column:
     """The key of a formatted value as a long; NULL where the value is NULL or holds no usable key."""
     s = stripped(c)

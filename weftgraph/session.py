@@ -41,6 +41,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as a table in the shared folder and read it back: no lineage, and it survives lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._weft_path = path
+    return back
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the table behind a frame made by ``written``."""
+    jvm, jsc = df.sparkSession._jvm, df.sparkSession._jsc
+    path = jvm.org.apache.hadoop.fs.Path(df._weft_path)
+    path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_or_plain(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a broadcast hint if its counted ``rows`` are within BROADCAST_ROWS, else unchanged."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
