@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from weftgraph.functions.vertexkey import code_text, sql_key, vertex_code, vertex_key
 from weftgraph.llm.components import components
 from weftgraph.llm.copies import mark_copies
+from weftgraph.llm.leaks import find_leaks
+from weftgraph.llm.sentences import sentence_units
 from weftgraph.plans.tables import table
 
 
@@ -33,7 +35,22 @@ def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _marked(spark, sf_dir).filter("row_id = first_row_id").select("first_row_id", "n_copies")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p5_found, p5_records)}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that share a run of at least 40 letters and digits with an evaluation item."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items that leaked, each with the number of documents that contain it in whole or in part."""
+    return p7_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_documents"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the sentence units of every document begin."""
+    return sentence_units(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p5_found, p5_records, p7_found, p7_leaked_items, p8_found)}
 
 _PAIRS = f"keyed AS (SELECT row_id, {sql_key('c0')} AS a, {sql_key('c1')} AS b FROM test_tsv), pairs AS (SELECT row_id, least(a, b) AS a, greatest(a, b) AS b FROM keyed WHERE a IS NOT NULL AND b IS NOT NULL)"
 
