@@ -9,6 +9,8 @@ from weftgraph.functions.vertexkey import code_text, sql_key, vertex_code, verte
 from weftgraph.llm.components import components
 from weftgraph.llm.copies import mark_copies
 from weftgraph.llm.leaks import find_leaks
+from weftgraph.llm.neighbours import nearest, neighbour_pairs
+from weftgraph.llm.packing import pack_documents
 from weftgraph.llm.sentences import sentence_units
 from weftgraph.plans.tables import table
 
@@ -19,6 +21,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(coded, "a", "b").select(code_text(F.col("group")).alias("group_vkey"), code_text(F.col("v")).alias("vkey"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of vertices of which at least one is among the five most similar to the other."""
+    return neighbour_pairs(nearest(table(spark, sf_dir, "vertex_data"), "vid", "factor", 20, 5))
+
+
 def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "test_tsv").select("row_id", vertex_key(F.col("c0")).alias("a"), vertex_key(F.col("c1")).alias("b"))
     record = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.concat(F.least("a", "b"), F.greatest("a", "b")))
@@ -35,6 +42,11 @@ def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _marked(spark, sf_dir).filter("row_id = first_row_id").select("first_row_id", "n_copies")
 
 
+def p6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every document with text lies in containers of 2,048 tokens."""
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that share a run of at least 40 letters and digits with an evaluation item."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -50,11 +62,19 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_units(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p5_found, p5_records, p7_found, p7_leaked_items, p8_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p5_found, p5_records, p6_packing, p7_found, p7_leaked_items, p8_found)}
 
 _PAIRS = f"keyed AS (SELECT row_id, {sql_key('c0')} AS a, {sql_key('c1')} AS b FROM test_tsv), pairs AS (SELECT row_id, least(a, b) AS a, greatest(a, b) AS b FROM keyed WHERE a IS NOT NULL AND b IS NOT NULL)"
 
+_GRAMS = """items AS (SELECT item_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '', 'g') AS t FROM eval_items WHERE text IS NOT NULL),
+docs AS (SELECT doc_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '', 'g') AS t FROM documents WHERE text IS NOT NULL),
+item_grams AS (SELECT DISTINCT item_id, substr(t, k, 40) AS g FROM (SELECT item_id, t, unnest(range(1, length(t) - 38)) AS k FROM items WHERE length(t) >= 40)),
+doc_grams AS (SELECT doc_id, substr(t, k, 40) AS g FROM (SELECT doc_id, t, unnest(range(1, length(t) - 38)) AS k FROM docs WHERE length(t) >= 40)),
+leaks AS (SELECT DISTINCT doc_id, item_id FROM doc_grams JOIN item_grams USING (g))"""
+
 ORACLES = {
+    "p7_found": f"WITH {_GRAMS} SELECT doc_id, item_id FROM leaks",
+    "p7_leaked_items": f"WITH {_GRAMS} SELECT item_id, count(*) AS n_documents FROM leaks GROUP BY item_id",
     "p5_found": f"WITH {_PAIRS}, firsts AS (SELECT row_id, min(row_id) OVER (PARTITION BY a, b) AS first_row_id FROM pairs) SELECT first_row_id, row_id AS copy_row_id FROM firsts WHERE row_id <> first_row_id",
     "p5_records": f"WITH {_PAIRS} SELECT min(row_id) AS first_row_id, count(*) AS n_copies FROM pairs GROUP BY a, b",
 }
