@@ -53,21 +53,22 @@ def svd(a: DataFrame, k: int, steps: int | None = None, seed: int = 0, tol: floa
     a = written(a.select("i", "j", F.col("v").cast("double").alias("v")), "matrix")
     rows, cols = a.select("i").distinct(), a.select(F.col("j").alias("i")).distinct()
     m = min(rows.count(), cols.count())
-    steps = min(m, steps or max(2 * k + 8, 3 * k))
-
-    def norm(df: DataFrame, c: str) -> float:
-        return math.sqrt(df.agg(F.sum(F.col(c) * F.col(c))).first()[0] or 0.0)
+    steps = min(m, steps or 2 * k + 4)
 
     def extend(basis: DataFrame, product: DataFrame, prefix: str, n: int) -> tuple[DataFrame, float]:
         """The product, made orthogonal to the basis and of length 1, as one more column; and its length before."""
         both = written(basis.join(product.withColumnRenamed("v", "y"), "i", "left").na.fill(0.0, ["y"]), "step")
-        y = F.col("y")
-        for _ in range(2 if n else 0):
-            dots = both.agg(*(F.sum(F.col(f"{prefix}{q}") * y).alias(f"d{q}") for q in range(n))).first()
+        y, length = F.col("y"), 0.0
+        while True:
+            dots = both.agg(F.sum(y * y).alias("yy"), *(F.sum(F.col(f"{prefix}{q}") * y).alias(f"d{q}") for q in range(n))).first()
+            whole, along = dots["yy"] or 0.0, sum((dots[f"d{q}"] or 0.0) ** 2 for q in range(n))
+            length = math.sqrt(max(0.0, whole - along))
             for q in range(n):
-                y = y - F.lit(float(dots[q] or 0.0)) * F.col(f"{prefix}{q}")
-        length = norm(both.select(y.alias("y")), "y")
-        return written(both.withColumn(f"{prefix}{n}", y / length if length > tol else F.lit(0.0)).drop("y"), "basis"), length
+                y = y - F.lit(float(dots[f"d{q}"] or 0.0)) * F.col(f"{prefix}{q}")
+            # Where little was left after taking away the old directions, rounding errors are taken away as well.
+            if along <= 0.5 * whole or length <= tol:
+                break
+        return both.withColumn(f"{prefix}{n}", y / length if length > tol else F.lit(0.0)).drop("y"), length
 
     v, _ = extend(cols, cols.select("i", (hashed(F.col("i"), seed) - 0.5).alias("v")), "v", 0)
     u, alpha = extend(rows, matvec(a, v.select("i", F.col("v0").alias("v"))), "u", 0)

@@ -30,6 +30,16 @@ def _totals(cells: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
     return docs, words, np.array([r["x"] for r in topics])
 
 
+def _draws(doc: np.ndarray, word: np.ndarray, token: np.ndarray, seed: int, step: int) -> np.ndarray:
+    """Uniform numbers in [0, 1) that depend on the token and the round only, not on how rows are split into batches."""
+    with np.errstate(over="ignore"):
+        x = doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ word.astype(np.uint64)
+        x = x * np.uint64(0xBF58476D1CE4E5B9) + token.astype(np.uint64) * np.uint64(0x94D049BB133111EB) + np.uint64(seed * 1_000_003 + step)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2.0**53
+
+
 def _rounds(bag: DataFrame, topics: int, iterations: int, alpha: float, beta: float, seed: int, sample: bool) -> tuple[DataFrame, DataFrame, DataFrame, list[float]]:
     start = F.pmod(F.xxhash64("doc", "word", F.lit(seed)), F.lit(topics))
     hard = F.transform(F.sequence(F.lit(0), F.lit(topics - 1)), lambda k: F.when(k == start, 1.0).otherwise(0.0))
@@ -48,25 +58,20 @@ def _rounds(bag: DataFrame, topics: int, iterations: int, alpha: float, beta: fl
                 nd, nw = matrix(b.column("nd")), matrix(b.column("nw"))
                 likelihood = n * np.log(((alpha + nd) * (beta + nw) / (beta * w + total)).sum(axis=1) / (alpha * topics + nd.sum(axis=1)))
                 if sample:
-                    # Tokens of a cell are drawn one after another against counts without themselves.
-                    out = np.zeros_like(g)
-                    ids = zip(b.column("doc").to_pylist(), b.column("word").to_pylist(), strict=True)
-                    for r, (doc, word) in enumerate(ids):
-                        rng = np.random.default_rng([seed, step, doc & 0xFFFFFFFF, word & 0xFFFFFFFF])
-                        held = np.repeat(np.arange(topics), np.rint(g[r] * n[r]).astype(int))
-                        d, v, s = nd[r].copy(), nw[r].copy(), total.copy()
-                        for z in held:
-                            d[z] -= 1
-                            v[z] -= 1
-                            s[z] -= 1
-                            p = np.maximum((alpha + d) * (beta + v) / (beta * w + s), 1e-12).cumsum()
-                            z = int(np.searchsorted(p, rng.random() * p[-1]))
-                            d[z] += 1
-                            v[z] += 1
-                            s[z] += 1
-                            out[r, z] += 1
-                        out[r] /= max(n[r], 1)
-                    g = out
+                    # Each token is drawn against the counts at the start of the round without itself.
+                    held = np.rint(g * n[:, None]).astype(np.int64)
+                    cell, old = np.nonzero(held)
+                    times = held[cell, old]
+                    cell, old = np.repeat(cell, times), np.repeat(old, times)
+                    own = np.zeros((len(cell), topics))
+                    own[np.arange(len(cell)), old] = 1.0
+                    p = np.maximum((alpha + nd[cell] - own) * (beta + nw[cell] - own) / (beta * w + total - own), 1e-12).cumsum(axis=1)
+                    begin = np.searchsorted(cell, np.arange(len(n)))
+                    u = _draws(b.column("doc").to_numpy()[cell], b.column("word").to_numpy()[cell], np.arange(len(cell)) - begin[cell], seed, step)
+                    new = (p < (u * p[:, -1])[:, None]).sum(axis=1)
+                    g = np.zeros_like(g)
+                    np.add.at(g, (cell, new), 1.0)
+                    g /= np.maximum(n, 1)[:, None]
                 else:
                     # CVB0 leaves one token's own belief out of the counts.
                     p = (alpha + np.maximum(nd - g, 0)) * (beta + np.maximum(nw - g, 0)) / (beta * w + total - g)
