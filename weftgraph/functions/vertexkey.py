@@ -16,19 +16,29 @@ def stripped(c: Column) -> Column:
     return F.regexp_replace(c, r"[^\p{L}\p{N}]+", "")
 
 
+#: How most values are written; for these the key is cut out by position, which spares the general rule.
+COMMON = r"^[A-Za-z]{3}-[0-9]{9}\z"
+USABLE = r"^[A-Za-z]{3}[0-9]{9}$"
+
+
 def vertex_key(c: Column) -> Column:
     """The lower-case key text of a formatted value; NULL where the value is NULL or holds no usable key."""
     s = stripped(c)
-    return F.when(s.rlike(r"^[A-Za-z]{3}[0-9]{9}$"), F.lower(s))
+    common = F.lower(F.concat(F.substring(c, 1, 3), F.substring(c, 5, 9)))
+    return F.when(c.rlike(COMMON), common).when(s.rlike(USABLE), F.lower(s))
 
 
 def vertex_code(c: Column) -> Column:
     """The key of a formatted value as a long; NULL where the value is NULL or holds no usable key."""
+
+    def number(text: Column, digits_from: int) -> Column:
+        letters = F.lower(F.substring(text, 1, 3))
+        place = [F.ascii(F.substring(letters, i, 1)) - 97 for i in (1, 2, 3)]
+        head = (place[0] * 676 + place[1] * 26 + place[2]).cast("long") * F.lit(DIGITS).cast("long")
+        return head + F.substring(text, digits_from, 9).cast("long")
+
     s = stripped(c)
-    letters = F.lower(F.substring(s, 1, 3))
-    place = [F.ascii(F.substring(letters, i, 1)) - 97 for i in (1, 2, 3)]
-    number = (place[0] * 676 + place[1] * 26 + place[2]).cast("long") * F.lit(DIGITS).cast("long")
-    return F.when(s.rlike(r"^[A-Za-z]{3}[0-9]{9}$"), number + F.substring(s, 4, 9).cast("long"))
+    return F.when(c.rlike(COMMON), number(c, 5)).when(s.rlike(USABLE), number(s, 4))
 
 
 def code_text(code: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions.vertexkey import code_text, sql_key, vertex_code
 from weftgraph.operators.heavy import heavy_keys, skew_key_stats
 from weftgraph.plans.tables import table
+from weftgraph.session import written
 from weftgraph.sources.quarantine import load_match_lines
 
 #: p1_found: the share of all rows from which on a key is a case.
@@ -22,7 +23,8 @@ def _sides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _key_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sides = _sides(spark, sf_dir)
+    # Written once: three passes follow, and each would parse the texts again.
+    sides = written(_sides(spark, sf_dir), "sides")
     found = skew_key_stats(sides, "fk", "other", heavy_keys(sides, F.col("fk"))).all_keys
     field = F.concat(F.lit("c"), F.pmod("fk", F.lit(2)).cast("string"))
     code = F.shiftright("fk", 1)
