@@ -28,7 +28,11 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _checked(ok: Column, value: Column, mode: str, what: str) -> Column:
-    return F.when(ok, value) if mode == "drop" else F.when(ok, value).otherwise(F.raise_error(F.concat(F.lit(f"not a line of {what}: "), F.col("line"))).cast("long"))
+    # Lines that aren't data give NULL here too: filters may be evaluated in another order.
+    line = F.col("line")
+    skipped = (line == "") | (line.startswith("#") if what == "snap" else ~line.contains(",") if what == "csv" else F.lit(False))
+    kept = F.when(skipped, F.lit(None).cast("long")).when(ok, value)
+    return kept if mode == "drop" else kept.otherwise(F.raise_error(F.concat(F.lit(f"not a line of {what}: "), line)).cast("long"))
 
 
 def _pair(df: DataFrame, separator: str, mode: str, what: str) -> DataFrame:
@@ -299,7 +303,7 @@ def read_weighted_adjacency(spark: SparkSession, path: str) -> Graph:
     p = F.split("line", r"\s+")
     rows = lines(spark, path).select(p[0].try_cast("long").alias("id"), F.slice(p, F.lit(2), F.size(p) - 1).alias("t")).filter("id IS NOT NULL")
     at = lambda k: F.col("t")[k]
-    pairs = F.transform(F.sequence(F.lit(0), F.size("t") / 2 - 1), lambda k: F.struct(at((2 * k).cast("int")).try_cast("long").alias("dst"), at((2 * k + 1).cast("int")).try_cast("double").alias("weight")))
+    pairs = F.transform(F.sequence(F.lit(0), (F.size("t") / 2).cast("int") - 1), lambda k: F.struct(at((2 * k).cast("int")).try_cast("long").alias("dst"), at((2 * k + 1).cast("int")).try_cast("double").alias("weight")))
     edges = rows.filter(F.size("t") >= 2).withColumn("e", F.explode(pairs)).select(F.col("id").alias("src"), "e.dst", "e.weight")
     return Graph.build(edges, rows.select("id"))
 
