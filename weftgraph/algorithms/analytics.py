@@ -126,11 +126,8 @@ def component_sizes(components: DataFrame, component: str = "component") -> Data
 
 
 def bond_percolation(graph: Graph) -> DataFrame:
-    """Each edge with ``component``: the smallest number of an edge that it is linked to through shared vertices.
-
-    Edges are numbered by (src, dst) order through a hash-free rank on the pair: the number of an edge is the pair's
-    place in the sorted list of distinct pairs.
-    """
+    """(src, dst, component_src, component_dst): each distinct edge with the first edge, by (src, dst), that it is linked to
+    through shared vertices."""
     labels = connected_components(graph).vertices.select("id", "component")
     pairs = graph.edges.select("src", "dst").distinct()
     placed = pairs.join(labels.withColumnRenamed("id", "src"), "src")
@@ -197,8 +194,8 @@ def triangle_counts(graph: Graph) -> DataFrame:
 def directed_triangle_counts(graph: Graph) -> DataFrame:
     """(id, in_triangles, out_triangles, through_triangles, cycle_triangles, in_degree, out_degree); repeated edges count once.
 
-    For an edge s -> t: common out-neighbours count to ``out`` of s, vertices between (s -> w -> t) to ``through`` of s...
-    and, as in the usual census, out, through and cycle are sums over a vertex's out-edges, in over its in-edges.
+    For each edge s -> t, vertices w with s -> w and t -> w count to ``out`` of s, with s -> w -> t to ``through`` of s,
+    with t -> w -> s to ``cycle`` of s, and with w -> s and w -> t to ``in`` of t.
     """
     e = written(graph.edges.select("src", "dst").distinct(), "distinct")
     s, t = F.col("src"), F.col("dst")

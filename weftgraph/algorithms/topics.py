@@ -9,7 +9,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.algorithms.analytics import hashed
 from weftgraph.functions.batches import arrays, grouped_vector_sum, matrix
 from weftgraph.operators.neighborhood import top_k
 from weftgraph.session import forget, written
@@ -102,8 +101,3 @@ def top_words(words: DataFrame, k: int = 10) -> DataFrame:
     """(topic, place, word, weight): the k heaviest words of each topic; ties to the larger word."""
     cells = words.select("word", F.posexplode("total").alias("topic", "weight"))
     return top_k(cells, ["topic"], [F.desc("weight"), F.desc("word")], k).select("topic", "place", "word", "weight")
-
-
-def draw(c: str, seed: int) -> object:
-    """A reproducible uniform draw per row, for use in plans."""
-    return hashed(F.col(c), seed)

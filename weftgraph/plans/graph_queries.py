@@ -122,7 +122,7 @@ def g_map_reduce_edges(spark: SparkSession, d: str) -> DataFrame:
     return one.crossJoin(F.broadcast(g.map_reduce_edges({"total_all": F.sum("weight")}, direction=Dir.ALL)))
 
 
-@query("SELECT count(*) AS n, sum(c_acctbal) AS total, min(c_acctbal) AS least, max(c_acctbal) AS most, arg_max(c_custkey, c_acctbal) AS richest FROM customer")
+@query("SELECT count(c_acctbal) AS n, round(sum(c_acctbal), 2) AS total, min(c_acctbal) AS least, max(c_acctbal) AS most, (SELECT min(c_custkey) FROM customer WHERE c_acctbal = (SELECT max(c_acctbal) FROM customer)) AS richest FROM customer")
 def g_map_reduce_vertices(spark: SparkSession, d: str) -> DataFrame:
     g = customer_supplier(spark, d)
     total = F.round(F.sum("balance"), 2)
@@ -130,8 +130,6 @@ def g_map_reduce_vertices(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-ORACLES["g_map_reduce_vertices"] = "SELECT count(c_acctbal) AS n, round(sum(c_acctbal), 2) AS total, min(c_acctbal) AS least, max(c_acctbal) AS most, (SELECT min(c_custkey) FROM customer WHERE c_acctbal = (SELECT max(c_acctbal) FROM customer)) AS richest FROM customer"
-
 
 @query("SELECT c_mktsegment AS label, sum(CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END)::BIGINT AS n_positive FROM customer GROUP BY 1")
 def g_fold_vertices(spark: SparkSession, d: str) -> DataFrame:
