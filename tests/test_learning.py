@@ -44,6 +44,25 @@ def test_svd_against_numpy(spark):
     assert np.allclose(made, full[0][:, :3] @ np.diag(want[:3]) @ full[2][:3], atol=1e-6)
 
 
+@pytest.mark.parametrize("small", [0, 10**6])
+def test_svd_goes_on_until_values_converge(spark, small):
+    n = 30  # a path: the leading values lie close together, far more than 2 k + 4 steps are needed
+    m = np.eye(n) * 2 + np.eye(n, k=1) + np.eye(n, k=-1)
+    cells = coo(spark, m).filter("v <> 0")
+    values, u, v, residuals = linalg.svd(cells, 2, steps=None if small else 14, small=small)
+    assert list(values) == pytest.approx(list(np.linalg.svd(m)[1][:2]), rel=1e-9) and residuals.max() < 4e-8
+    left, right = (np.array([x for _, _, x in rows(f, "k", "i", "v")]).reshape(2, n) for f in (u, v))
+    assert np.abs(m @ right.T - left.T * values).max() < 1e-7 and np.abs(m.T @ left.T - right.T * values).max() < 1e-7
+    with pytest.raises(RuntimeError, match="not converged"):
+        linalg.svd(cells, 2, steps=5, max_steps=5, small=small)
+
+
+@pytest.mark.parametrize("small", [0, 10**6])
+def test_svd_of_a_wide_matrix(spark, small):
+    m = np.random.default_rng(2).normal(size=(3, 6))
+    assert list(linalg.svd(coo(spark, m), 3, small=small)[0]) == pytest.approx(list(np.linalg.svd(m)[1]), rel=1e-8)
+
+
 def test_cosamp_golden():
     a = np.array([[0.2785, 0.9649, 0.9572], [0.5469, 0.1576, 0.4854], [0.9575, 0.9706, 0.8003]])
     x = np.array([0, 1.2, 0])
