@@ -14,6 +14,7 @@ from weftgraph.functions.factors import Table, agreement, laplace
 from weftgraph.functions.sparse import cosamp
 from weftgraph.graph import Graph
 from weftgraph.operators.neighborhood import reservoir_one
+from weftgraph.plans import ml_queries
 from weftgraph.streaming import incremental
 
 A = [[1.8147, 0.9134, 0.2785], [0.9058, 1.6324, 0.5469], [0.1270, 0.0975, 1.9575]]
@@ -256,3 +257,12 @@ def test_event_stream_windows(spark, tmp_path):
     q.awaitTermination(120)
     assert sorted(map(str, spark.table("w").collect())) == sorted(map(str, table.collect())) and table.count() == 2
     assert math.isclose(table.filter("event_type = 'a'").first()["sum_value"], 5.0)
+
+
+def test_words_of_all_scripts(spark, tmp_path):
+    texts = ["Été à Zürich, a é", "委員会です。了", "ขอบคุณ", "हिन्दी में", "42 !", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {}
+    for doc, w in rows(ml_queries.words(spark, str(tmp_path)), "doc", "w"):
+        found.setdefault(doc, set()).add(w)
+    assert found == {0: {"été", "à", "zürich", "a", "é"}, 1: {"委員", "員会", "会で", "です", "了"}, 2: {"ขอ", "อบ", "บคุ", "คุณ"}, 3: {"हिन्दी", "में"}}

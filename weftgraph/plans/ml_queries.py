@@ -164,15 +164,29 @@ def m_normalized_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 # -- topics ------------------------------------------------------------------------------------------------------------
+#: Letters of scripts written without spaces; what is cut from them are pairs of letters with their marks.
+SPACELESS = r"[\p{L}&&[\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]]"
+WORDS = rf"[\p{{L}}&&[^{SPACELESS}]][\p{{L}}\p{{M}}&&[^{SPACELESS}]]*"
+PAIRS = rf"(?=({SPACELESS}(?:\p{{M}}*+{SPACELESS}\p{{M}}*+|(?<!{SPACELESS}\p{{M}}{{0,8}}{SPACELESS})\p{{M}}*+(?!{SPACELESS}))))"
+
+
 def words(spark: SparkSession, d: str) -> DataFrame:
-    """(doc, text of the word, n) of runs of at least three Latin letters."""
-    tokens = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), 0)).alias("w"))
+    """(doc, text of the word, n): runs of letters in lower case; of scripts without spaces all pairs of neighbouring letters,
+    or the letter that stands alone."""
+    text = F.lower("text")
+    found = F.concat(F.regexp_extract_all(text, F.lit(WORDS), 0), F.regexp_extract_all(text, F.lit(PAIRS), 1))
+    return _counted(table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.explode(found).alias("w")))
+
+
+def _counted(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("doc", "w").agg(F.least(F.count("*"), F.lit(topics.MAX_COUNT)).alias("n"))
 
 
 @query("SELECT doc_id AS doc, w, least(count(*), 100) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w FROM documents) GROUP BY 1, 2")
 def m_bag_of_words(spark: SparkSession, d: str) -> DataFrame:
-    return words(spark, d).select("doc", "w", F.col("n").cast("long").alias("n"))
+    """Runs of at least three Latin letters, as its SQL has them; the topic models take all ``words``."""
+    found = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), 0)
+    return _counted(table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.explode(found).alias("w"))).select("doc", "w", F.col("n").cast("long").alias("n"))
 
 
 def _bag(spark: SparkSession, d: str) -> DataFrame:
