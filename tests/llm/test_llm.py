@@ -270,6 +270,12 @@ def test_units(marked):
     assert unit_starts(text) == starts, [text[a:b] for a, b in zip(unit_starts(text), [*unit_starts(text)[1:], len(text)])]
 
 
+@pytest.mark.parametrize("heading", ["Prof. Wenri Ebselov:", "PROF. RIGAR RISELWENARD (Orchard League):", "Vizepräsident Prof. Zansel Tastauna:"])
+def test_a_title_with_a_full_stop_is_part_of_a_heading(heading):
+    assert unit_starts(f"{heading}\nThank you. We go on.") == [0, len(heading) + 1, len(heading) + 12]
+    assert unit_starts("That was agreed. He said the following:\nno more.")[:2] == [0, 17]
+
+
 def test_lattice_takes_dictionary_words():
     assert lattice("ขอบคุณท่านประธานครับ", True)[0] == "ขอบคุณ" and lattice("ขอบคุณท่านประธานครับ", True)[-1] == "ครับ"
     assert "".join(lattice("abกรมคลัง", True)) == "abกรมคลัง"

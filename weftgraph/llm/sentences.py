@@ -327,7 +327,10 @@ def _is_heading(line: str) -> bool:
     if not head or any(head.count(a) != head.count(b) for a, b in PAIRS.items()):
         return False
     bare = re.sub(r"[(（\[].*?[)）\]]", " ", head)
-    if re.search(r"[!?。！？।»”;]", bare) or re.search(r"[^\W\d]{4,}\.\s", bare) or re.search(r"\d", bare):
+    if re.search(r"[!?。！？।»”;]", bare) or re.search(r"\d", bare):
+        return False
+    # A long word with a full stop is the end of a sentence, unless it is a title.
+    if any(m[1].lower() not in NEVER for m in re.finditer(r"([^\W\d]{4,})\.\s", bare)):
         return False
     words = bare.split()
     return len(words) <= 6 and bool(words) and words[-1].lower() not in SAYING
