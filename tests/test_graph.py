@@ -263,3 +263,16 @@ def test_empty_graph(spark):
     g = graph(spark, [])
     assert g.num_vertices() == 0 and rows(analytics.pagerank(g, iterations=2).vertices) == [] and rows(analytics.connected_components(g).vertices) == []
     assert rows(analytics.triangle_counts(g)) == [] and rows(analytics.kcore(g, 2)) == []
+
+
+def test_powerlaw_beyond_its_table(spark, monkeypatch):
+    before, far = rows(io.powerlaw(spark, 3000, 1.3).edges), [rows(io.powerlaw(spark, 3000, a).edges.groupBy("src").count()) for a in (1.0, 1.3)]
+    monkeypatch.setattr(io, "POWERLAW_TABLE", 100)
+    assert rows(io.powerlaw(spark, 3000, 1.3).edges) == before
+    assert [rows(io.powerlaw(spark, 3000, a).edges.groupBy("src").count()) for a in (1.0, 1.3)] == far and max(d for _, d in far[0]) > 2000
+    assert list(io._power_sum(1_000_001, np.array([1_000_000, 3_000_000]), 2.1)) == pytest.approx([0, float((np.arange(1_000_001, 3_000_001) ** -2.1).sum())], rel=1e-9)
+
+
+def test_powerlaw_has_degrees_beyond_a_million(spark):
+    g = io.powerlaw(spark, 4_000_000, 1.01)
+    assert g.edges.filter("src < 30").groupBy("src").count().agg(F.max("count")).first()[0] > 1_000_000

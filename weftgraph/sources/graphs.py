@@ -203,29 +203,55 @@ def hypergraph_lines(graph: Graph) -> DataFrame:
     return per.select(F.concat_ws(" ", "id", F.size("t"), F.concat_ws(" ", F.transform("t", lambda x: x.cast("string")))).alias("value"))
 
 
+#: Degrees up to this have their cumulative distribution in a table.
+POWERLAW_TABLE = 1_000_000
+
+
+def _power_sum(first: int, last: np.ndarray, alpha: float) -> np.ndarray:
+    """The sum of d^-alpha for d from ``first`` (large) to each of ``last``."""
+    a, b = float(first), last.astype(float)
+    area = np.log(b / a) if alpha == 1 else (b ** (1 - alpha) - a ** (1 - alpha)) / (1 - alpha)
+    return np.where(b < a, 0.0, area + (a**-alpha + b**-alpha) / 2 + alpha * (a ** (-alpha - 1) - b ** (-alpha - 1)) / 12)
+
+
 def powerlaw(spark: SparkSession, n: int, alpha: float = 2.1, truncate: int | None = None, seed: int = 0, reverse: bool = False) -> Graph:
     """A directed graph of n vertices whose out-degrees follow P(d) ~ d^-alpha (in-degrees, if ``reverse``).
 
-    The degrees' distribution is sent to every task: at most min(n, truncate, 10^6) numbers. Targets walk by a fixed
-    stride, so an edge needs no draw of its own and a loop is stepped over.
+    The distribution of the degrees up to POWERLAW_TABLE is sent to every task; beyond, sums are made by the Euler-Maclaurin
+    formula and inverted by bisection. Targets walk by a fixed stride, so an edge needs no draw of its own and a loop is
+    stepped over.
     """
     from weftgraph.algorithms.analytics import hashed
 
-    most = min(n - 1, truncate or n - 1, 1_000_000)
+    most = min(n - 1, truncate or n - 1)
     if most < 1:
         return Graph(spark.range(n), spark.createDataFrame([], "src long, dst long"))
-    p = np.arange(1, most + 1, dtype=float) ** -alpha
-    cumulative = (p.cumsum() / p.sum()).tolist()
-    sent = spark.sparkContext.broadcast(np.array(cumulative))
+    known = min(most, POWERLAW_TABLE)
+    cumulative = (np.arange(1, known + 1, dtype=float) ** -alpha).cumsum()
+    whole = cumulative[-1] + float(_power_sum(known + 1, np.array([most]), alpha)[0])
+    sent = spark.sparkContext.broadcast(cumulative / whole)
 
     def degrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            d = np.searchsorted(sent.value, b.column(1).to_numpy()) + 1
+            u = b.column(1).to_numpy()
+            d = np.searchsorted(sent.value, u) + 1
+            far = np.flatnonzero(d > known)
+            if len(far) and most > known:
+                rest = (u[far] - sent.value[-1]) * whole
+                low, high = np.full(len(far), known + 1), np.full(len(far), most)
+                while (low < high).any():
+                    middle = (low + high) // 2
+                    enough = _power_sum(known + 1, middle, alpha) >= rest
+                    low, high = np.where(enough, low, np.minimum(middle + 1, high)), np.where(enough, middle, high)
+                d[far] = low
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.minimum(d, most), pa.int64())], ["id", "d"])
 
     drawn = spark.range(n).select("id", hashed(F.col("id"), seed).alias("u")).mapInArrow(degrees, "id long, d long")
     begin = F.pmod(F.xxhash64("id", F.lit(seed), F.lit(1)), F.lit(n))
-    walk = drawn.select("id", begin.alias("b"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("d"))).alias("k"))
+    # Large degrees are walked in portions, so no array is longer than one.
+    portion = F.lit(100_000).cast("long")
+    parts = drawn.select("id", "d", begin.alias("b"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("d"), portion)).alias("f"))
+    walk = parts.select("id", "b", F.explode(F.sequence("f", F.least("d", F.col("f") + portion - 1))).alias("k"))
     target = F.pmod(F.col("b") + F.col("k") * (LAST_STEP % n), F.lit(n))
     stepped = F.when(target == F.col("id"), F.pmod(target + 1, F.lit(n))).otherwise(target)
     ends = walk.select(F.col("id").alias("src"), stepped.alias("dst"))
