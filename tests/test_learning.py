@@ -266,3 +266,23 @@ def test_words_of_all_scripts(spark, tmp_path):
     for doc, w in rows(ml_queries.words(spark, str(tmp_path)), "doc", "w"):
         found.setdefault(doc, set()).add(w)
     assert found == {0: {"été", "à", "zürich", "a", "é"}, 1: {"委員", "員会", "会で", "です", "了"}, 2: {"ขอ", "อบ", "บคุ", "คุณ"}, 3: {"हिन्दी", "में"}}
+
+
+def test_kmeans_goes_on_until_no_assignment_changes(spark, monkeypatch):
+    # Four centres at the left end of a line: the borders move by a few points a round.
+    x = np.arange(1, 401, dtype=float) ** 1.1
+    p = spark.createDataFrame([(i, [float(v)]) for i, v in enumerate(x)], "id long, point array<double>").coalesce(1)
+    centres, rounds = x[:4], 0
+    while True:
+        near = np.abs(x[:, None] - centres).argmin(axis=1)
+        moved = np.array([x[near == c].mean() for c in range(4)])
+        if np.allclose(moved, centres, rtol=1e-14):
+            break
+        centres, rounds = moved, rounds + 1
+    monkeypatch.setattr(cluster, "MOST_ROUNDS", rounds + 3)
+    found, got = cluster.kmeans(p, centres=x[:4, None])
+    assert rounds > 20
+    assert list(got[:, 0]) == pytest.approx(list(centres)) and [c for _, c in rows(found, "id", "cluster")] == list(near)
+    monkeypatch.setattr(cluster, "MOST_ROUNDS", 2)
+    with pytest.raises(RuntimeError, match="still change"):
+        cluster.kmeans(p, centres=x[:4, None])

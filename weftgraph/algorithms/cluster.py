@@ -17,6 +17,8 @@ from weftgraph.graph import Graph
 from weftgraph.operators.neighborhood import top_k
 from weftgraph.session import written
 
+#: k-means without a limit of its own gives up after so many rounds.
+MOST_ROUNDS = 10_000
 #: Centres are sent to every task: at most this many numbers.
 MOST_NUMBERS = 4_000_000
 
@@ -59,10 +61,20 @@ def init_centres(points: DataFrame, k: int, seed: int = 0) -> np.ndarray:
     return np.array(chosen, float)
 
 
-def kmeans(points: DataFrame, k: int | None = None, iterations: int = 20, centres: np.ndarray | None = None, seed: int = 0) -> tuple[DataFrame, np.ndarray]:
+def _marks(ids: pa.Array) -> np.ndarray:
+    """Three hashes of 20 bits of each id, whose sums are exact in doubles: they tell whether a cluster has the same points."""
+    with np.errstate(over="ignore"):
+        x = ids.to_numpy(zero_copy_only=False).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return np.stack([(x >> np.uint64(shift)) & np.uint64(0xFFFFF) for shift in (4, 24, 44)], axis=1).astype(float)
+
+
+def kmeans(points: DataFrame, k: int | None = None, iterations: int | None = None, centres: np.ndarray | None = None, seed: int = 0) -> tuple[DataFrame, np.ndarray]:
     """((id, cluster, dist), centres). points: (id, point); NULL points are left out, mixed lengths are an error.
 
-    Ends when no assignment changes or after ``iterations`` rounds. A cluster that loses all its points is dropped.
+    Ends when no assignment changes, or earlier after ``iterations`` rounds if that is given; without, it is an error if
+    MOST_ROUNDS don't do. A cluster that loses all its points is dropped.
     """
     points = written(points.filter("point IS NOT NULL").select("id", F.col("point").cast("array<double>").alias("point")), "points")
     sizes = points.agg(F.min(F.size("point")), F.max(F.size("point")), F.count("*")).first()
@@ -74,22 +86,25 @@ def kmeans(points: DataFrame, k: int | None = None, iterations: int = 20, centre
         if k > sizes[2]:
             raise ValueError("more clusters than points")
         centres = init_centres(points, k, seed)
-    cost = math.inf
-    for _ in range(iterations):
+    seen: set[bytes] = set()
+    for _ in range(MOST_ROUNDS if iterations is None else iterations):
         near = _nearest(points, centres)
 
         def features(b: pa.RecordBatch) -> np.ndarray:
-            return np.concatenate((matrix(b.column("point")), np.ones((b.num_rows, 1)), b.column("dist").to_numpy()[:, None]), axis=1)
+            return np.concatenate((matrix(b.column("point")), np.ones((b.num_rows, 1)), _marks(b.column("id"))), axis=1)
 
         rows = grouped_vector_sum(near, "cluster", features).orderBy("cluster").collect()  # one row per cluster
         totals = np.array([r["total"] for r in rows])
-        moved = totals[:, :-2] / totals[:, -2:-1]
-        new_cost = float(totals[:, -1].sum())
-        settled = moved.shape == centres.shape and np.array_equal(moved, centres)
-        centres = moved
-        if settled or new_cost >= cost - 1e-12 * max(1.0, cost):
+        kept = len(rows) == len(centres)
+        centres = totals[:, :-4] / totals[:, -4:-3]
+        # An assignment met before is the last one, or one of several of the same cost between which rounding decides.
+        assigned = totals[:, -4:].tobytes()
+        if kept and assigned in seen:
             break
-        cost = new_cost
+        seen.add(assigned)
+    else:
+        if iterations is None:
+            raise RuntimeError(f"assignments still change after {MOST_ROUNDS} rounds")
     return _nearest(points, centres).select("id", "cluster", "dist"), centres
 
 

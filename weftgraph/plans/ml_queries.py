@@ -130,7 +130,7 @@ def m_vector_sum(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def m_kmeans(spark: SparkSession, d: str) -> DataFrame:
-    return cluster.kmeans(points(spark, d), 10, 10)[0].groupBy("cluster").agg(F.count("*").alias("n"), F.sum("dist").alias("cost"))
+    return cluster.kmeans(points(spark, d), 10)[0].groupBy("cluster").agg(F.count("*").alias("n"), F.sum("dist").alias("cost"))
 
 
 @query()
