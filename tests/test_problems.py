@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weftgraph.functions.vertexkey import code_text, vertex_code, vertex_key
-from weftgraph.operators.heavy import heavy_keys, skew_key_stats
+from weftgraph.operators.heavy import heavy_share, heavy_keys, skew_key_stats
 from weftgraph.sources.quarantine import load_match_lines
 
 KEYS = [
@@ -49,8 +49,14 @@ def test_a_key_with_a_third_of_the_rows(spark):
 def test_sketch_finds_every_heavy_key(spark):
     df = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, F.col("id") % 15).otherwise(F.col("id") + 1000).alias("k"))
     assert {0, 3, 6, 9, 12} <= set(heavy_keys(df, F.col("k"), 0.05))
-    with pytest.raises(ValueError, match="too small"):
-        heavy_keys(df, F.col("k"), 0.0001, 1000)
+    with pytest.raises(ValueError, match="too large"):
+        heavy_keys(df, F.col("k"), 1e-7)
+
+
+def test_sketches_of_many_tasks_are_merged_as_a_tree(spark):
+    df = spark.range(0, 40_000, 1, 30).select(F.when(F.col("id") % 50 == 0, 7).otherwise(F.col("id") + 1000).alias("k"))
+    assert 7 in heavy_keys(df, F.col("k"), 0.02)
+    assert heavy_share(spark) == 0.001
 
 
 def test_no_rows(spark):

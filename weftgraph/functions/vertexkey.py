@@ -5,7 +5,9 @@ A key is carried as one long that sorts like the lower-case key text; text is ma
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIGITS = 1_000_000_000
@@ -21,24 +23,46 @@ COMMON = r"^[A-Za-z]{3}-[0-9]{9}\z"
 USABLE = r"^[A-Za-z]{3}[0-9]{9}$"
 
 
+def plain(c: Column) -> Column:
+    """The lower-case letters and digits of a value; NULL for NULL."""
+    return F.lower(F.when(c.rlike(COMMON), F.concat(F.substring(c, 1, 3), F.substring(c, 5, 9))).otherwise(stripped(c)))
+
+
+def once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """``df`` with further columns that are computed once a row, whatever filters and projections follow.
+
+    A generator stands between: the optimizer pushes nothing that uses the new columns below it, and doesn't copy their
+    expressions into each place of use.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*(x.alias(c) for c, x in columns.items())))))
+
+
+def plain_key(p: Column) -> Column:
+    """The key text of a value that ``plain`` was applied to; NULL if it is no usable key."""
+    return F.when(p.rlike(USABLE), p)
+
+
+def plain_code(p: Column) -> Column:
+    """The key of a value that ``plain`` was applied to, as a long; NULL if it is no usable key."""
+    place = [F.ascii(F.substring(p, i, 1)) - 97 for i in (1, 2, 3)]
+    head = (place[0] * 676 + place[1] * 26 + place[2]).cast("long") * F.lit(DIGITS).cast("long")
+    return F.when(p.rlike(USABLE), head + F.substring(p, 4, 9).cast("long"))
+
+
 def vertex_key(c: Column) -> Column:
     """The lower-case key text of a formatted value; NULL where the value is NULL or holds no usable key."""
-    s = stripped(c)
-    common = F.lower(F.concat(F.substring(c, 1, 3), F.substring(c, 5, 9)))
-    return F.when(c.rlike(COMMON), common).when(s.rlike(USABLE), F.lower(s))
+    return plain_key(plain(c))
 
 
 def vertex_code(c: Column) -> Column:
     """The key of a formatted value as a long; NULL where the value is NULL or holds no usable key."""
+    return plain_code(plain(c))
 
-    def number(text: Column, digits_from: int) -> Column:
-        letters = F.lower(F.substring(text, 1, 3))
-        place = [F.ascii(F.substring(letters, i, 1)) - 97 for i in (1, 2, 3)]
-        head = (place[0] * 676 + place[1] * 26 + place[2]).cast("long") * F.lit(DIGITS).cast("long")
-        return head + F.substring(text, digits_from, 9).cast("long")
 
-    s = stripped(c)
-    return F.when(c.rlike(COMMON), number(c, 5)).when(s.rlike(USABLE), number(s, 4))
+def coded(df: DataFrame, fields: Mapping[str, Column], keep: Sequence[str] = ()) -> DataFrame:
+    """The columns ``keep`` and the key code of each field under its name, NULL where it is NULL or holds no usable key."""
+    cleaned = once(df.select(*keep, *(x.alias(f"__{c}") for c, x in fields.items())), {f"__p_{c}": plain(F.col(f"__{c}")) for c in fields})
+    return once(cleaned, {c: plain_code(F.col(f"__p_{c}")) for c in fields}).select(*keep, *fields)
 
 
 def code_text(code: Column) -> Column:

@@ -1,21 +1,23 @@
 """Per-key results where a few keys hold most rows.
 
-A frequent-items sketch (one mergeable pass, at most ``tracked`` counters) finds the heavy keys; their rows meet the
-sketch's short list by broadcast join and are grouped by (key, partner), so that a hot key is spread over all tasks;
-every other row takes one ordinary shuffle on its key; the two results are united.
+A frequent-items sketch finds the heavy keys: one sketch a task, merged as a tree (about sqrt(tasks) at a time), so no task
+ever holds more than that many. A key is heavy if it could fill half a shuffle partition. The rows of heavy keys meet
+the sketch's short list by broadcast join and are grouped by (key, partner), so that a hot key is spread over all tasks;
+every other row takes one ordinary shuffle on its key, in which no key is above half a partition; the two are united.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Counters of the sketch. It misses no key whose share of the rows exceeds about 3.5 / TRACKED.
-TRACKED = 16_384
-#: A key is treated as heavy from this share of the keyed rows on; so at most 1 / HEAVY_SHARE keys are.
-HEAVY_SHARE = 0.001
+#: A sketch of t counters misses no key whose share of the rows exceeds about 3.5 / t; it gets this many per 1 / share.
+COUNTERS = 8
+#: The sketch's largest size, and so the smallest share that can be asked for (8e-6: 60,000 shuffle partitions).
+MOST_TRACKED = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -30,17 +32,30 @@ class KeyStats:
         return self.heavy.unionByName(self.rest)
 
 
-def heavy_keys(df: DataFrame, key: Column, share: float = HEAVY_SHARE, tracked: int = TRACKED) -> list[int]:
+def heavy_share(spark: SparkSession) -> float:
+    """The share of the keyed rows from which on a key is heavy: half a shuffle partition, one in a thousand at most."""
+    return max(COUNTERS / MOST_TRACKED, min(0.001, 0.5 / int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def heavy_keys(df: DataFrame, key: Column, share: float | None = None) -> list[int]:
     """Every key (long) that holds at least ``share`` of the rows with a key, by sketch; some lighter keys may be among them.
 
     The list has at most 2 / share entries whatever the data: more keys cannot hold that share of all rows within the
-    sketch's error. NULL keys are ignored; an empty input gives an empty list.
+    sketch's error. NULL keys are ignored; an empty input gives an empty list. ``share`` defaults to ``heavy_share``.
     """
-    if share * tracked < 7:
-        raise ValueError("the sketch is too small for this share")
+    share = share or heavy_share(df.sparkSession)
+    tracked, most = math.ceil(COUNTERS / share), int(2 / share)
+    if tracked > MOST_TRACKED:
+        raise ValueError("the sketch would be too large for this share")
     keyed = df.select(key.alias("k")).filter("k IS NOT NULL")
-    most = int(2 / share)
-    row = keyed.agg(F.count("*").alias("n"), F.expr(f"approx_top_k(k, {most}, {tracked})").alias("top")).first()
+    branches = max(1, math.isqrt(df.rdd.getNumPartitions()))
+    # A task's rows all have one branch: it sends one sketch, and a branch merges about sqrt(tasks) of them.
+    leaf = keyed.groupBy(F.pmod(F.spark_partition_id(), F.lit(branches)).alias("branch"))
+    partial = leaf.agg(F.count("*").alias("n"), F.expr(f"approx_top_k_accumulate(k, {tracked})").alias("s"))
+    # Grouped by a constant: a partition without a branch must not send an empty sketch, which can't be merged.
+    row = partial.groupBy(F.pmod("branch", F.lit(1))).agg(F.sum("n").alias("n"), F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {tracked}), {most})").alias("top")).first()
+    if row is None:
+        return []
     return [x["item"] for x in row["top"] or [] if x["item"] is not None and x["count"] >= share * row["n"] / 2]
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftgraph.functions.vertexkey import code_text, sql_key, vertex_code
+from weftgraph.functions.vertexkey import code_text, coded, sql_key
 from weftgraph.operators.heavy import heavy_keys, skew_key_stats
 from weftgraph.plans.tables import table
 from weftgraph.session import written
@@ -17,9 +17,9 @@ CASE_PERCENT = 1
 
 def _sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(fk, other): every field of every test_tsv row; fk = 2 * key code + field, NULL where the field is unusable."""
-    coded = table(spark, sf_dir, "test_tsv").select(vertex_code(F.col("c0")).alias("a"), vertex_code(F.col("c1")).alias("b"))
+    codes = coded(table(spark, sf_dir, "test_tsv"), {"a": F.col("c0"), "b": F.col("c1")})
     pair = lambda i, x, y: F.struct((F.col(x) * 2 + i).alias("fk"), F.col(y).alias("other"))
-    return coded.select(F.inline(F.array(pair(0, "a", "b"), pair(1, "b", "a"))))
+    return codes.select(F.inline(F.array(pair(0, "a", "b"), pair(1, "b", "a"))))
 
 
 def _key_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
