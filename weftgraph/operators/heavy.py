@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.session import BROADCAST_ROWS
+
 #: A sketch of t counters misses no key whose share of the rows exceeds about 3.5 / t; it gets this many per 1 / share.
 COUNTERS = 8
 #: The sketch's largest size, and so the smallest share that can be asked for (8e-6: 60,000 shuffle partitions).
@@ -75,3 +77,18 @@ def skew_key_stats(df: DataFrame, key: str, partner: str, heavy: list[int]) -> K
     hot = of(rows.join(short, "__k", "left_semi"))
     # One exchange on the key serves both aggregations.
     return KeyStats(hot, of(rows.join(short, "__k", "left_anti").repartition("__k")))
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, right_rows: int, hot: list[int], how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` (one row per key, ``right_rows`` in all) on a long column that may have hot keys on the left.
+
+    A small right side is broadcast. Otherwise the rows of the keys in ``hot`` meet their few rows of ``right`` by
+    broadcast and all others take an ordinary shuffle, so no task gets a hot key whole.
+    """
+    if right_rows <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), key, how)
+    if not hot:
+        return left.join(right, key, how)
+    listed = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    few = F.broadcast(right.filter(F.col(key).isin(hot)))
+    return left.filter(listed).join(few, key, how).unionByName(left.filter(~listed).join(right.filter(~listed), key, how))

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if it was counted and is no larger than this many rows of a few longs (about 8 MB).
@@ -30,12 +30,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and forget its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 _MADE: list[str] = []
 
 
@@ -61,6 +55,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def written_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``written`` and the number of rows, counted while they are written."""
+    seen = Observation()
+    back = written(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return back, seen.get["n"]
+
+
 def forget(df: DataFrame) -> None:
     """Delete the table behind a frame made by ``written``."""
     jvm, jsc = df.sparkSession._jvm, df.sparkSession._jsc
