@@ -1,15 +1,17 @@
 """Consolidating pairwise matches into groups: connected components over billions of pairs.
 
-1. The giant component is peeled by breadth-first frontier joins from the vertex of highest degree, for at most
-   ``max_levels`` levels, and anti-joined away. Where the frontier isn't exhausted by then (long chains hang on the
-   giant), the vertices reached become one vertex and stay in the game, so the result doesn't depend on the limit.
-2. The remaining components are labelled by minimum propagation with contraction: each vertex takes the smallest
-   neighbour in a fixed pseudo-random order as its parent, edges are rewritten to the parents, loops and repeats
-   vanish, and so on. Each round at least about halves what is left of any chain, so a chain of length n takes about log2 n
-   rounds of shrinking size instead of n rounds. Heavy hubs come first in the order: their stars vanish in one round.
-3. The parents are followed back from the last round to the first.
-
-Ids are non-negative longs below 2^62.
+1. The giant component is peeled by breadth-first frontier joins from the vertex of highest degree and anti-joined away.
+   Where only thin tails are left of it (``TAIL`` levels in a row that add less than a hundredth each: long chains that
+   hang on the giant), the vertices reached become one vertex and stay in the game, so the result is the same either way.
+2. The remaining components are labelled by propagating the smallest key, with contraction as an accelerator: each
+   vertex takes the smallest neighbour in a fixed pseudo-random order as its parent; the smallest key of all who chose a
+   parent goes up to it; edges are rewritten to the parents, loops and repeats vanish, and so on. Each round at least
+   about halves what is left of any chain, so a chain of length n takes about log2 n rounds of shrinking size instead of
+   n rounds. Heavy hubs come first in the order: their stars vanish in one round.
+3. The smallest keys are handed back down from the last round to the first.
+
+Every join whose key may be hot (a hub among the edges, a parent of a third of all vertices) is split: the few rows of hot
+keys are broadcast, the rest is shuffled. Ids are non-negative longs below 2^62.
 """
 
 from __future__ import annotations
@@ -17,9 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.operators.heavy import heavy_keys
-from weftgraph.session import BROADCAST_ROWS, forget, small_or_plain, written
+from weftgraph.operators.heavy import heavy_keys, split_join
+from weftgraph.session import BROADCAST_ROWS, forget, small_or_plain, written, written_counted
 
+#: Levels in a row that add less than a hundredth of what was reached, after which the giant is contracted.
+TAIL = 4
 _HALF = 31
 _MASK = (1 << _HALF) - 1
 #: Odd multipliers of the Feistel rounds.
@@ -45,63 +49,65 @@ def unmix(x: Column) -> Column:
     return F.shiftleft(left, _HALF).bitwiseOR(right)
 
 
-def peel_giant(edges: DataFrame, root: int, max_levels: int) -> tuple[DataFrame, int, bool]:
-    """Vertices reached from ``root``, their number, and whether all that can be reached were. edges: (a, b), kept."""
-    spark = edges.sparkSession
-    visited = frontier = spark.createDataFrame([(root,)], "v long")
+def _both(edges: DataFrame) -> DataFrame:
+    """(v, u): each edge from either end, in one scan."""
+    return edges.select(F.inline(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("u")), F.struct(F.col("b").alias("v"), F.col("a").alias("u")))))
+
+
+def _hot(edges: DataFrame, size: int) -> list[int]:
+    """The hubs, where a side beyond the broadcast limit may meet the edges."""
+    return heavy_keys(_both(edges), F.col("v")) if size > BROADCAST_ROWS else []
+
+
+def peel_giant(edges: DataFrame, root: int, hubs: list[int], tail: int = TAIL) -> tuple[DataFrame, int, bool]:
+    """Vertices reached from ``root``, their number, and whether all that can be reached were. edges: (a, b), written."""
+    visited = frontier = edges.sparkSession.createDataFrame([(root,)], "v long")
     reached = size = 1
-    for level in range(max_levels):
-        side = small_or_plain(frontier, size)
-        out = edges.join(side, F.col("a") == F.col("v"), "left_semi").select(F.col("b").alias("v"))
-        back = edges.join(side, F.col("b") == F.col("v"), "left_semi").select(F.col("a").alias("v"))
-        step = written(out.unionByName(back).distinct().join(small_or_plain(visited, reached), "v", "left_anti"), "frontier")
-        size = step.count()
+    thin, both = 0, _both(edges)
+    while thin < tail:
+        near = split_join(both, frontier, "v", size, hubs, "left_semi").select(F.col("u").alias("v")).distinct()
+        step, size = written_counted(near.join(small_or_plain(visited, reached), "v", "left_anti"), "frontier")
         if not size:
             return visited, reached, True
+        thin = thin + 1 if size * 100 < reached else 0
         visited, frontier, reached = visited.unionByName(step), step, reached + size
     return visited, reached, False
 
 
-def _parents(edges: DataFrame) -> DataFrame:
-    """(v, p): the smallest of a vertex and its neighbours."""
-    both = edges.select(F.inline(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("u")), F.struct(F.col("b").alias("v"), F.col("a").alias("u")))))
-    return both.groupBy("v").agg(F.min("u").alias("u")).select("v", F.least("v", "u").alias("p"))
-
-
-def _rewritten(edges: DataFrame, parents: DataFrame, size: int) -> DataFrame:
-    side = small_or_plain(parents, size)
-    moved = edges.join(side.toDF("a", "pa"), "a").join(side.toDF("b", "pb"), "b").filter("pa <> pb")
-    return moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
-
-
-def label_small(edges: DataFrame) -> DataFrame | None:
-    """(v, r): a representative for each vertex of ``edges`` (a, b; a <> b); None without edges."""
+def label_small(edges: DataFrame, size: int, low: Column) -> DataFrame | None:
+    """(v, low): for each vertex of ``edges`` (a, b; a <> b; written) the least ``low`` (of column v) of its component."""
     trail: list[tuple[DataFrame, int]] = []
-    while (size := edges.count()) > 0:
-        parents = written(_parents(edges), "parents")
-        n = parents.count()
-        trail.append((parents, n))
-        after = written(_rewritten(edges, parents, n), "edges")
+    nodes: DataFrame | None = None
+    while size > 0:
+        hot = _hot(edges, size)
+        least = _both(edges).groupBy("v").agg(F.min("u").alias("u"))
+        # A vertex without edges left has no parent: its component is complete.
+        begun = least.withColumn("low", low) if nodes is None else nodes.join(least, "v", "left")
+        step, n = written_counted(begun.select("v", F.when(F.col("u").isNotNull(), F.least("v", "u")).alias("p"), "low"), "parents")
+        trail.append((step, n))
+        live = step.filter("p IS NOT NULL").select("v", "p")
+        moved = split_join(edges, live.toDF("a", "pa"), "a", n, hot)
+        moved = split_join(moved, live.toDF("b", "pb"), "b", n, hot).filter("pa <> pb")
+        after, size = written_counted(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
         if len(trail) > 1:
             forget(edges)
         edges = after
+        nodes = step.filter("p IS NOT NULL").groupBy(F.col("p").alias("v")).agg(F.min("low").alias("low"))
         if len(trail) > 200:
             raise RuntimeError(f"no end after 200 rounds; {size} edges left")
-    labels: DataFrame | None = None
+    labels, above = nodes, trail[-1][1] if trail else 0
     while trail:
-        parents, n = trail.pop()
-        if labels is None:
-            labels = parents.toDF("v", "r")
-        else:
-            above = small_or_plain(labels.toDF("p", "r"), above_n)
-            labels = parents.join(above, "p", "left").select("v", F.coalesce("r", "p").alias("r"))
-            if trail and n > BROADCAST_ROWS:
-                labels = written(labels, "labels")
-        above_n = n
+        step, n = trail.pop()
+        live = step.filter("p IS NOT NULL").select("v", "p")
+        hot = heavy_keys(live, F.col("p")) if above > BROADCAST_ROWS else []
+        down = split_join(live, labels.toDF("p", "low"), "p", above, hot).select("v", "low")
+        labels, above = step.filter("p IS NULL").select("v", "low").unionByName(down), n
+        if trail and n > BROADCAST_ROWS:
+            labels = written(labels, "labels")
     return labels
 
 
-def components(pairs: DataFrame, a: str, b: str, max_levels: int = 8) -> DataFrame:
+def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """(v, group): every id in either column with the smallest id of its component.
 
     A pair with a NULL side links nothing, and neither does a vertex paired with itself, but the ids in them still come
@@ -110,48 +116,46 @@ def components(pairs: DataFrame, a: str, b: str, max_levels: int = 8) -> DataFra
     # Written first: filters on costly expressions would have them computed several times.
     ends = written(pairs.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")), "pairs")
     linked = ends.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    edges = written(linked.distinct(), "edges")
+    edges, size = written_counted(linked.distinct(), "edges")
     alone = ends.filter("a IS NULL OR b IS NULL OR a = b").select(F.coalesce("a", "b").alias("v")).filter("v IS NOT NULL").distinct()
-    hubs = heavy_keys(edges.select(F.explode(F.array("a", "b")).alias("v")), F.col("v"))
-    found: list[DataFrame] = []
-    rest, contract = edges, None
-    if not edges.isEmpty():
-        ends_once = edges.select(F.explode(F.array("a", "b")).alias("v"))
-        if hubs:
-            ends_once = ends_once.filter(F.col("v").isin(hubs))
-        root = ends_once.groupBy("v").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "v").first()["v"]
-        visited, reached, whole = peel_giant(edges, root, max_levels)
-        side = small_or_plain(visited, reached)
-        if whole:
-            rest = edges.join(side, F.col("a") == F.col("v"), "left_anti")
-            found.append(visited.select("v", F.lit(root).alias("r")))
-        else:
-            # What was reached becomes the root; the rest of its component is found by propagation.
-            contract = visited.select("v", F.lit(root).alias("r"))
-            mark = small_or_plain(contract, reached)
-            rest = edges.join(mark.toDF("a", "ra"), "a", "left").join(mark.toDF("b", "rb"), "b", "left")
-            rest = rest.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).filter("a <> b")
-            rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    alone, n_alone = written_counted(alone, "alone")
+    if not size:
+        return alone.select("v", F.col("v").alias("group"))
+    hubs = heavy_keys(_both(edges), F.col("v"))
+    counted = _both(edges).filter(F.col("v").isin(hubs)) if hubs else _both(edges)
+    root = counted.groupBy("v").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "v").first()["v"]
+    visited, reached, whole = peel_giant(edges, root, hubs)
+    visited = written(visited, "visited")
+    least = visited.agg(F.min("v")).first()[0]
+    if whole:
+        # Of an edge both ends are in the giant or none is.
+        rest = split_join(edges, visited.toDF("a"), "a", reached, hubs, "left_anti")
+    else:
+        # What was reached becomes the root, and the rest of its component is found by propagation.
+        mark = visited.withColumn("r", F.lit(root))
+        rest = split_join(edges, mark.toDF("a", "ra"), "a", reached, hubs, "left")
+        rest = split_join(rest, mark.toDF("b", "rb"), "b", reached, hubs, "left")
+        rest = rest.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).filter("a <> b").distinct()
     # Hubs get negative order numbers and so come before all other vertices.
     number = lambda c: F.when(F.col(c).isin(hubs), -mix(F.col(c)) - 1).otherwise(mix(F.col(c))) if hubs else mix(F.col(c))
-    plain = lambda c: unmix(F.when(F.col(c) < 0, -F.col(c) - 1).otherwise(F.col(c)))
-    small = label_small(written(rest.select(number("a").alias("a"), number("b").alias("b")), "rest"))
+    plain = unmix(F.when(F.col("v") < 0, -F.col("v") - 1).otherwise(F.col("v")))
+    rest, left = written_counted(rest.select(number("a").alias("a"), number("b").alias("b")), "rest")
+    small = label_small(rest, left, F.least(plain, F.when(plain == root, F.lit(least)))) if left else None
+    giant = visited.select("v", F.lit(least).alias("group"))
     if small is not None:
-        small = small.select(plain("v").alias("v"), plain("r").alias("r"))
-        found.append(small)
-    if contract is not None:
-        if small is not None:
-            joined = contract.join(F.broadcast(small.filter(F.col("v") == root).select(F.col("r").alias("rr"))), F.lit(True), "left")
-            contract = joined.select("v", F.coalesce("rr", "r").alias("r"))
-            found = [small.filter(F.col("v") != root)]
-        found.append(contract)
-    if not found:
-        return alone.select("v", F.col("v").alias("group"))
-    labelled = found[0]
-    for more in found[1:]:
-        labelled = labelled.unionByName(more)
+        small = small.select(plain.alias("v"), F.col("low").alias("group"))
+        if not whole:
+            small = written(small, "small")
+            met = small.filter(F.col("v") == root).first()
+            giant = visited.select("v", F.lit(least if met is None else met["group"]).alias("group"))
+            small = small.filter(F.col("v") != root)
+    labelled = giant if small is None else giant.unionByName(small)
+    if not n_alone:
+        return labelled
     labelled = written(labelled, "labelled")
-    least = labelled.groupBy("r").agg(F.min("v").alias("group"), F.count("*").alias("n"))
-    grouped = labelled.join(least, "r").select("v", "group")
-    single = alone.join(labelled.select("v"), "v", "left_anti")
-    return grouped.unionByName(single.select("v", F.col("v").alias("group")))
+    if n_alone <= BROADCAST_ROWS:
+        linked_too = labelled.select("v").join(F.broadcast(alone), "v", "left_semi")
+        single = alone.join(F.broadcast(linked_too), "v", "left_anti")
+    else:
+        single = alone.join(labelled.select("v"), "v", "left_anti")
+    return labelled.unionByName(single.select("v", F.col("v").alias("group")))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.functions.vertexkey import code_text, sql_key, vertex_code, vertex_key
+from weftgraph.functions.vertexkey import code_text, coded, once, plain, plain_key, sql_key
 from weftgraph.llm.components import components
-from weftgraph.llm.copies import mark_copies
+from weftgraph.llm.copies import canonical, mark_copies
 from weftgraph.llm.leaks import find_leaks
 from weftgraph.llm.neighbours import nearest, neighbour_pairs
 from weftgraph.llm.packing import pack_documents
@@ -17,8 +17,8 @@ from weftgraph.plans.tables import table
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vertex key with the smallest key of its group."""
-    coded = table(spark, sf_dir, "test_tsv").select(vertex_code(F.col("c0")).alias("a"), vertex_code(F.col("c1")).alias("b"))
-    return components(coded, "a", "b").select(code_text(F.col("group")).alias("group_vkey"), code_text(F.col("v")).alias("vkey"))
+    codes = coded(table(spark, sf_dir, "test_tsv"), {"a": F.col("c0"), "b": F.col("c1")})
+    return components(codes, "a", "b").select(code_text(F.col("group")).alias("group_vkey"), code_text(F.col("v")).alias("vkey"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,9 +27,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "test_tsv").select("row_id", vertex_key(F.col("c0")).alias("a"), vertex_key(F.col("c1")).alias("b"))
-    record = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.concat(F.least("a", "b"), F.greatest("a", "b")))
-    return mark_copies(rows, "row_id", record)
+    """A record is usable if both fields are vertex keys; its canonical text has the fields in order."""
+    rows = table(spark, sf_dir, "test_tsv").select("row_id", "c0", "c1")
+    rows = once(rows, {"p0": plain(F.col("c0")), "p1": plain(F.col("c1"))})
+    usable = plain_key(F.col("p0")).isNotNull() & plain_key(F.col("p1")).isNotNull()
+    return mark_copies(rows, "row_id", F.when(usable, canonical("p0", "p1")))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
