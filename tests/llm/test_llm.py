@@ -11,13 +11,16 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from weftgraph import session
+from weftgraph.llm import components as components_module
 from weftgraph.llm import leaks
 from weftgraph.llm.components import components, mix, unmix
-from weftgraph.llm.copies import canonical, mark_copies, terminals
+from weftgraph.llm.copies import canonical_record, mark_copies, split_buckets, terminals
 from weftgraph.llm.leaks import Patterns, find_leaks
 from weftgraph.llm.neighbours import nearest, neighbour_pairs, usable
 from weftgraph.llm.packing import pack_documents, sum_of_squares
 from weftgraph.llm.sentences import lattice, sentence_units, unit_starts
+from weftgraph.operators import heavy
 
 
 def rows(df):
@@ -49,7 +52,7 @@ def pairs_frame(spark, pairs):
     return spark.createDataFrame([(a, b, 0, "x") for a, b in pairs], "a long, b long, v int, r string")
 
 
-def test_components_of_stars_chains_and_loose_ends(spark):
+def test_components_of_stars_chains_and_loose_ends(spark, monkeypatch):
     r = random.Random(1)
     star = [(0, i) for i in range(1, 800)] + [(i, 0) for i in range(400, 800)]
     chain = [(i, i + 1) for i in range(10_000, 10_400)]
@@ -60,8 +63,11 @@ def test_components_of_stars_chains_and_loose_ends(spark):
     pairs = star + chain + second + loose + [(799, 30_000), (30_000, 30_001), (30_001, 30_002)]
     df = pairs_frame(spark, pairs)
     assert rows(components(df, "a", "b")) == union_find(pairs)
-    # Even where the giant isn't reached whole in the levels allowed.
-    assert rows(components(df, "a", "b", max_levels=1)) == union_find(pairs)
+    # Even where peeling ends before the giant is reached whole, and where no side is broadcast.
+    assert rows(components(df, "a", "b", tail=0)) == union_find(pairs)
+    for module in (session, heavy, components_module):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", 20)
+    assert rows(components(df, "a", "b")) == union_find(pairs)
 
 
 def test_components_without_edges(spark):
@@ -104,7 +110,7 @@ def test_copies_with_a_hot_record(spark, least):
 
 def test_canonical_form(spark):
     df = spark.createDataFrame([(0, " A-b ", "C"), (1, "c.", "ab"), (2, None, "!"), (3, "x", None), (4, "ÄÖ", "1")], "i int, a string, b string")
-    got = [r["c"] for r in df.select("i", canonical(F.col("a"), F.col("b")).alias("c")).orderBy("i").collect()]
+    got = [r["c"] for r in df.select("i", canonical_record(F.col("a"), F.col("b")).alias("c")).orderBy("i").collect()]
     assert got[0] == got[1] == "ab\x1fc" and got[2] is None and got[3] == "\x1fx" and got[4] == "1\x1fäö"
 
 
@@ -115,6 +121,15 @@ def test_copies_of_very_long_records_and_none(spark):
     assert rows(mark_copies(df.limit(0), "id", F.col("k"))) == []
 
 
+def test_a_long_common_prefix_costs_few_levels(spark):
+    head = "h" * 10_000
+    data = [(i, head + f"{i % 290:04d}" + "t" * (i % 7)) for i in range(600)] + [(1000 + i, "other") for i in range(3)] + [(2000 + i, head) for i in range(150)]
+    df = spark.createDataFrame(data, "id long, k string")
+    assert rows(mark_copies(df, "id", F.col("k"), least=100)) == expected_copies(data)
+    placed, levels = split_buckets(df.select(F.col("id").alias("row_id"), F.col("k").cast("binary").alias("rec")), 100, 753)
+    assert levels <= 3 and placed.groupBy("leaf").count().agg(F.max("count")).first()[0] <= 150
+
+
 # -- neighbours --------------------------------------------------------------------------------------------------------
 def vectors(n, clusters, seed, d=8):
     rng = np.random.default_rng(seed)

@@ -107,7 +107,7 @@ def label_small(edges: DataFrame, size: int, low: Column) -> DataFrame | None:
     return labels
 
 
-def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
+def components(pairs: DataFrame, a: str, b: str, tail: int = TAIL) -> DataFrame:
     """(v, group): every id in either column with the smallest id of its component.
 
     A pair with a NULL side links nothing, and neither does a vertex paired with itself, but the ids in them still come
@@ -124,7 +124,7 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     hubs = heavy_keys(_both(edges), F.col("v"))
     counted = _both(edges).filter(F.col("v").isin(hubs)) if hubs else _both(edges)
     root = counted.groupBy("v").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "v").first()["v"]
-    visited, reached, whole = peel_giant(edges, root, hubs)
+    visited, reached, whole = peel_giant(edges, root, hubs, tail)
     visited = written(visited, "visited")
     least = visited.agg(F.min("v")).first()[0]
     if whole:
