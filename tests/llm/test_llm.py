@@ -16,9 +16,9 @@ from weftgraph.llm import components as components_module
 from weftgraph.llm import leaks
 from weftgraph.llm.components import components, mix, unmix
 from weftgraph.llm.copies import canonical_record, mark_copies, split_buckets, terminals
-from weftgraph.llm.leaks import Patterns, find_leaks
+from weftgraph.llm.leaks import TEXT_END, Patterns, find_leaks, folded
 from weftgraph.llm.neighbours import nearest, neighbour_pairs, usable
-from weftgraph.llm.packing import pack_documents, sum_of_squares
+from weftgraph.llm.packing import pack_documents, packing_checks, sum_of_squares
 from weftgraph.llm.sentences import lattice, sentence_units, unit_starts
 from weftgraph.operators import heavy
 
@@ -203,6 +203,8 @@ def test_every_document_is_placed(spark, shard_items):
         assert [k for k, _, _ in p] == list(range(len(p))) and all(f == 64 * k for k, f, _ in p) and all(n == 64 for _, _, n in p[:-1])
     assert sum(load.values()) / (64 * len(load)) > 0.8
     assert rows(pack_documents(df.limit(0))) == []
+    checks = packing_checks(pack_documents(df, capacity=64, shard_items=shard_items), 64).first()
+    assert checks["n_documents"] == len(parts) and checks["whole_and_once"] and checks["none_overfull"]
 
 
 # -- leaks -------------------------------------------------------------------------------------------------------------
@@ -236,6 +238,7 @@ def leak_data(seed):
 @pytest.mark.parametrize("chars", [4_000_000, 300])
 def test_leaks_against_brute_force(spark, monkeypatch, chars):
     monkeypatch.setattr(leaks, "ITEM_CHARS", chars)
+    monkeypatch.setattr(leaks, "BLOCKS_AT_ONCE", 2)
     docs, items = leak_data(5)
     d = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, item_id int")
     e = spark.createDataFrame([(i, t, "en") for i, t in items], "item_id long, text string, lang string")
@@ -247,7 +250,7 @@ def test_leaks_against_brute_force(spark, monkeypatch, chars):
 def test_search_against_brute_force(seed):
     docs, items = leak_data(seed)
     docs, items = [x for x in docs if x[1] is not None], [x for x in items if x[1] is not None]
-    a, b = Patterns([i for i, _ in items], [t for _, t in items]).search([t for _, t in docs])
+    a, b = Patterns([i for i, _ in items], [t for _, t in items]).search(*folded([t for _, t in docs], TEXT_END))
     assert sorted((docs[x][0], int(y)) for x, y in zip(a, b, strict=True)) == brute_leaks(docs, items)
 
 

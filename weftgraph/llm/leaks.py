@@ -4,11 +4,13 @@ A case is a run of at least ``RUN`` letters and digits, common to an item and a
 have been disregarded. Patterns are pieces of ``PIECE`` characters cut from the items every ``PIECE + 1`` characters:
 any common run of RUN = 2 * PIECE characters holds one whole piece. Over the documents a window of PIECE characters
 moves on by the shift that a table gives for the block of ``BLOCK`` characters at its end: where the block occurs in no
-piece, by PIECE - BLOCK + 1 at once. Where the shift is 0, the hash of the window's suffix selects pieces, and the
-characters around it are compared directly with the item until the run is long enough or ends.
+piece, by PIECE - BLOCK + 1 at once. Where the shift is 0, the block at the window's end names a bucket of pieces (those
+that end in a block of the same hash), of which those that begin like the window are taken; the characters of the piece
+and around it are compared directly with the item until the run is long enough or ends.
 
 Many windows (one for each segment of the text) advance in step, so that each step is a few numpy operations. Items
-are searched for in blocks of at most ``ITEM_CHARS`` characters, so what is broadcast is bounded however many there are.
+are searched for in blocks of at most ``ITEM_CHARS`` characters, ``BLOCKS_AT_ONCE`` blocks in one pass over texts that are
+folded once; so what is broadcast and held is bounded however many items there are.
 """
 
 from __future__ import annotations
@@ -16,15 +18,20 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.session import written
+
 RUN, PIECE, BLOCK = 40, 20, 5
 #: Characters of items in one search, and of documents in one step of a task.
 ITEM_CHARS, STEP_CHARS = 4_000_000, 4_000_000
+BLOCKS_AT_ONCE = 8
 SEGMENT = 512
 TABLE_BITS = 22
 #: Ends a text; no letter or digit has this number, and items and documents have different ones.
@@ -62,12 +69,9 @@ def _block_hash(text: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
 
-def _suffix_hash(text: np.ndarray, at: np.ndarray) -> np.ndarray:
-    h = np.zeros(len(at), np.uint64)
-    for i in range(PIECE):
-        h = (h + text[at + i]) * MULTIPLIER
-        h ^= h >> np.uint64(29)
-    return h
+def _bucket(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The hash of a window's last block, which names a bucket of pieces, above that of its first block."""
+    return (_block_hash(text, at + (PIECE - BLOCK)) << TABLE_BITS) | _block_hash(text, at)
 
 
 class Patterns:
@@ -88,13 +92,12 @@ class Patterns:
         self.shift = np.full(1 << TABLE_BITS, PIECE - BLOCK + 1, np.uint8)
         for j in range(PIECE - BLOCK + 1):
             np.minimum.at(self.shift, _block_hash(self.items, self.place + j), np.uint8(PIECE - BLOCK - j))
-        hashes = _suffix_hash(self.items, self.place)
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.place, self.owner = hashes[order], self.place[order], owner[order]
+        buckets = _bucket(self.items, self.place)
+        order = np.argsort(buckets, kind="stable")
+        self.buckets, self.place, self.owner = buckets[order], self.place[order], owner[order]
 
-    def search(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(index of the text, item id) of every case, without repeats."""
-        text, ends = folded(texts, TEXT_END)
+    def search(self, text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index of the text, item id) of every case in ``folded`` texts, without repeats."""
         last = len(text) - 64 - PIECE
         starts = np.arange(64, max(65, last + 1), SEGMENT)
         stops = np.minimum(starts + SEGMENT, last + 1)
@@ -110,14 +113,14 @@ class Patterns:
             alive = at < stops
             if not alive.all():
                 at, stops = at[alive], stops[alive]
-        if not hits or not len(self.hashes):
+        if not hits or not len(self.buckets):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         at = np.concatenate(hits)
-        h = _suffix_hash(text, at)
-        low, high = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
+        h = _bucket(text, at)
+        low, high = np.searchsorted(self.buckets, h, "left"), np.searchsorted(self.buckets, h, "right")
         n = high - low
         found: list[np.ndarray] = []
-        # Windows whose hash selects many pieces are compared in portions.
+        # Windows with many pieces are compared in portions.
         for group in np.array_split(np.flatnonzero(n), max(1, int(n.sum() // 500_000))):
             k = n[group]
             window = np.repeat(at[group], k)
@@ -159,8 +162,8 @@ def _slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id) of every document and item that share a run of at least RUN letters and digits, once each.
 
-    NULL texts, and items of fewer than RUN letters and digits, have no cases. The documents are read once for each
-    block of items (one block up to ITEM_CHARS characters), in one pass without a shuffle of texts.
+    NULL texts, and items of fewer than RUN letters and digits, have no cases. The documents are read once for every
+    BLOCKS_AT_ONCE blocks of items (one block up to ITEM_CHARS characters), without a shuffle of texts.
     """
     spark = documents.sparkSession
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("text IS NOT NULL")
@@ -177,18 +180,30 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", i
             size += len(r["t"])
         yield Patterns(ids, texts)
 
-    found = None
-    for patterns in blocks():
-        sent = spark.sparkContext.broadcast(patterns)
+    def one_pass(held: list[Patterns]) -> tuple[DataFrame, Broadcast]:
+        sent = spark.sparkContext.broadcast(held)
 
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-                sizes = np.fromiter((len(x) for x in texts.to_pylist()), np.int64, len(texts))
+                ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+                sizes = np.fromiter(map(len, texts), np.int64, len(texts))
                 for a, b in _slices(sizes, STEP_CHARS):
-                    d, i = sent.value.search(texts[a:b].to_pylist())
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][d], pa.int64()), pa.array(i, pa.int64())], ["doc_id", "item_id"])
-
-        part = rows.mapInArrow(search, "doc_id long, item_id long")
+                    plain, ends = folded(texts[a:b], TEXT_END)
+                    for patterns in sent.value:
+                        d, i = patterns.search(plain, ends)
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][d], pa.int64()), pa.array(i, pa.int64())], ["doc_id", "item_id"])
+
+        return rows.mapInArrow(search, "doc_id long, item_id long"), sent
+
+    found, held = None, []
+    source = blocks()
+    while len(held := list(islice(source, BLOCKS_AT_ONCE))) == BLOCKS_AT_ONCE:
+        # A pass that isn't the last is written at once, so that its items can be let go.
+        part, sent = one_pass(held)
+        part = written(part, "leaks")
+        sent.destroy()
+        found = part if found is None else found.unionByName(part)
+    if held or found is None:
+        part, _ = one_pass(held)
         found = part if found is None else found.unionByName(part)
     return found.distinct()

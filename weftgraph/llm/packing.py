@@ -2,9 +2,9 @@
 
 Documents are measured in tokens of a public tokenizer. One longer than the capacity is divided: its full pieces fill
 containers of their own, and the rest is packed like any other document. Items are dealt by hash to shards of about
-``SHARD_ITEMS`` items (the bound of what a task holds); each shard is packed by the sum-of-squares rule: with N(g) open
-containers of residual gap g, an item goes where the sum of N(g)^2 over all gaps becomes smallest. Larger items come
-first. What the shards leave at most half full is brought together and packed once more, containers being the items.
+``SHARD_ITEMS`` items, one task each; a shard is packed by the sum-of-squares rule: with N(g) open containers of residual
+gap g, an item goes where the sum of N(g)^2 over all gaps becomes smallest. Larger items come first. What the shards
+leave at most half full (a few containers each) is brought together and packed once more, containers being the items.
 """
 
 from __future__ import annotations
@@ -20,10 +20,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.session import written
+from weftgraph.session import small_or_plain, written, written_counted
 
 CAPACITY = 2_048
-SHARD_ITEMS = 50_000
+SHARD_ITEMS = 20_000
 
 
 def default_vocabulary() -> str:
@@ -33,21 +33,27 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def default_pattern() -> str:
+    """The expression by which that vocabulary cuts a text before merging."""
+    from public_tokenizers import PATTERN
+
+    return PATTERN
+
+
 @lru_cache(maxsize=2)
-def _encoding(path: str) -> object:
+def _encoding(path: str, pattern: str) -> object:
     import tiktoken
-    from public_tokenizers import PATTERN
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def count_tokens(documents: DataFrame, doc_id: str, text: str, vocabulary: str) -> DataFrame:
+def count_tokens(documents: DataFrame, doc_id: str, text: str, vocabulary: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens) of every document with text: one that is neither NULL nor all whitespace."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(vocabulary).encode_ordinary
+        encode = _encoding(vocabulary, pattern).encode_ordinary
         for batch in batches:
             n = [len(encode(t)) if t and not t.isspace() else 0 for t in batch.column(1).to_pylist()]
             out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
@@ -89,37 +95,61 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return where, np.array(held, np.int64)
 
 
-def _packer(capacity: int, stage: str) -> Callable[[pa.Table], pa.Table]:
-    def pack(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("size", "descending"), ("item", "ascending")])
-        where, held = sum_of_squares(table["size"].to_numpy(), capacity)
-        shard = table["shard"][0].as_py()
-        names = np.array([f"{stage}{shard}-{b}" for b in range(len(held))], object)
-        return pa.table({"item": table["item"], "bin": pa.array(names[where], pa.string()), "held": pa.array(held[where], pa.int64())})
+def _packer(capacity: int, stage: str, keep: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Packs the shard that a task's rows are: (shard, size, *keep), larger sizes first."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
+        if whole is not None:
+            shards = whole["shard"].to_numpy()
+            cuts = [0, *(np.flatnonzero(shards[1:] != shards[:-1]) + 1).tolist(), len(shards)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                part = whole.slice(a, b - a)
+                where, held = sum_of_squares(part["size"].to_numpy(), capacity)
+                names = np.array([f"{stage}{shards[a]}-{k}" for k in range(len(held))], object)
+                out = part.select([*keep, "size"]).append_column("bin", pa.array(names[where], pa.string())).append_column("held", pa.array(held[where], pa.int64()))
+                yield from out.combine_chunks().to_batches()
 
     return pack
 
 
-def pack_documents(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str | None = None, shard_items: int = SHARD_ITEMS) -> DataFrame:
+def _packed(items: DataFrame, shards: int, capacity: int, stage: str, keep: str) -> DataFrame:
+    names = [k.split()[0] for k in keep.split(", ")]
+    # One partition a shard, whatever its bytes: packing is a loop over items, so shards mustn't be put together.
+    placed = items.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.desc("size"), *names)
+    return placed.select("shard", "size", *names).mapInArrow(_packer(capacity, stage, names), f"{keep}, size long, bin string, held long")
+
+
+def pack_documents(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str | None = None, pattern: str | None = None, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """(bin_id, doc_id, part, first_token, n_tokens): every document with text, placed whole or, if longer than a container, in parts.
 
     NULL and blank texts are left out. doc_id must be unique; other columns are ignored; an empty table gives an empty one.
+    vocabulary and pattern: a public tokenizer's file and the expression that goes with it.
     """
-    sizes = written(count_tokens(documents, doc_id, text, vocabulary or default_vocabulary()), "tokens")
+    sizes, n = written_counted(count_tokens(documents, doc_id, text, vocabulary or default_vocabulary(), pattern or default_pattern()), "tokens")
     whole = (F.col("n_tokens") / capacity).cast("long")
     full = sizes.filter(F.col("n_tokens") >= capacity).select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), whole - 1)).alias("part"))
     full = full.select(F.format_string("f%d-%d", "doc_id", "part").alias("bin_id"), "doc_id", "part", (F.col("part") * capacity).alias("first_token"), F.lit(capacity).cast("long").alias("n_tokens"))
-    rests = sizes.withColumn("part", whole).withColumn("size", F.col("n_tokens") - whole * capacity).filter("size > 0")
-    shards = max(1, round(sizes.count() / shard_items))
-    items = rests.select(F.col("doc_id").alias("item"), "size", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"))
-    first = written(items.groupBy("shard").applyInArrow(_packer(capacity, "s"), "item long, bin string, held long"), "packed")
-    placed = first.select("item", F.col("bin").alias("bin_id"))
+    rests = sizes.select("doc_id", whole.alias("part"), (F.col("n_tokens") - whole * capacity).alias("size")).filter("size > 0")
+    shards = max(1, round(n / shard_items))
+    items = rests.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
+    placed = written(_packed(items, shards, capacity, "s", "doc_id long, part long"), "packed")
     if shards > 1:
         # A few containers a shard; so this stage is smaller than the first by the order of shard_items.
-        left = first.filter(F.col("held") * 2 <= capacity).select("bin", "held").distinct()
-        again = max(1, round(left.count() / shard_items))
-        loose = left.select(F.col("bin").alias("item"), F.col("held").alias("size"), F.pmod(F.xxhash64("bin"), F.lit(again)).cast("int").alias("shard"))
-        merged = loose.groupBy("shard").applyInArrow(_packer(capacity, "m"), "item string, bin string, held long")
-        placed = placed.join(merged.select(F.col("item").alias("bin_id"), F.col("bin").alias("new_bin")), "bin_id", "left").select("item", F.coalesce("new_bin", "bin_id").alias("bin_id"))
-    parts = rests.join(placed, F.col("doc_id") == F.col("item")).select("bin_id", "doc_id", "part", (F.col("part") * capacity).alias("first_token"), F.col("size").alias("n_tokens"))
+        left, n_left = written_counted(placed.filter(F.col("held") * 2 <= capacity).select("bin", "held").distinct(), "left")
+        again = max(1, round(n_left / shard_items))
+        loose = left.select(F.col("bin").alias("old"), F.col("held").alias("size"), F.pmod(F.xxhash64("bin"), F.lit(again)).cast("int").alias("shard"))
+        merged = _packed(loose, again, capacity, "m", "old string").select(F.col("old").alias("bin"), F.col("bin").alias("new_bin"))
+        placed = placed.join(small_or_plain(written(merged, "merged"), n_left), "bin", "left").withColumn("bin", F.coalesce("new_bin", "bin"))
+    parts = placed.select(F.col("bin").alias("bin_id"), "doc_id", "part", (F.col("part") * capacity).alias("first_token"), F.col("size").alias("n_tokens"))
     return full.unionByName(parts)
+
+
+def packing_checks(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row: the documents placed, and whether each lies there once and whole, no container holds more than the capacity,
+    and the containers are within a hundredth of the least possible number."""
+    per_doc = packed.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("part").alias("last"), F.countDistinct("part").alias("parts"), F.sum("n_tokens").alias("tokens"), F.max(F.col("first_token") + F.col("n_tokens")).alias("end"))
+    docs = per_doc.agg(F.count("*").alias("n_documents"), F.bool_and((F.col("n") == F.col("parts")) & (F.col("last") + 1 == F.col("n")) & (F.col("tokens") == F.col("end"))).alias("whole_and_once"), F.sum("tokens").alias("total"))
+    bins = packed.groupBy("bin_id").agg(F.sum("n_tokens").alias("held")).agg(F.coalesce(F.max("held") <= capacity, F.lit(True)).alias("none_overfull"), F.count("*").alias("n_bins"))
+    both = docs.crossJoin(F.broadcast(bins))  # one row each
+    return both.select("n_documents", "whole_and_once", "none_overfull", (F.col("n_bins") <= F.ceil(F.col("total") / capacity) * 1.01 + 1).alias("near_the_least"))

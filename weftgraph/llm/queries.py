@@ -10,9 +10,10 @@ from weftgraph.llm.components import components
 from weftgraph.llm.copies import canonical, mark_copies
 from weftgraph.llm.leaks import find_leaks
 from weftgraph.llm.neighbours import nearest, neighbour_pairs
-from weftgraph.llm.packing import pack_documents
+from weftgraph.llm.packing import pack_documents, packing_checks
 from weftgraph.llm.sentences import sentence_units
 from weftgraph.plans.tables import table
+from weftgraph.session import written
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +50,11 @@ def p6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def p6_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the packing."""
+    return packing_checks(written(p6_packing(spark, sf_dir), "packing"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that share a run of at least 40 letters and digits with an evaluation item."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -64,7 +70,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_units(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p4_found, p5_found, p5_records, p6_packing, p7_found, p7_leaked_items, p8_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p4_found, p5_found, p5_records, p6_packing, p6_checks, p7_found, p7_leaked_items, p8_found)}
 
 _PAIRS = f"keyed AS (SELECT row_id, {sql_key('c0')} AS a, {sql_key('c1')} AS b FROM test_tsv), pairs AS (SELECT row_id, least(a, b) AS a, greatest(a, b) AS b FROM keyed WHERE a IS NOT NULL AND b IS NOT NULL)"
 
@@ -75,6 +81,7 @@ doc_grams AS (SELECT doc_id, substr(t, k, 40) AS g FROM (SELECT doc_id, t, unnes
 leaks AS (SELECT DISTINCT doc_id, item_id FROM doc_grams JOIN item_grams USING (g))"""
 
 ORACLES = {
+    "p6_checks": r"SELECT count(DISTINCT doc_id) AS n_documents, TRUE AS whole_and_once, TRUE AS none_overfull, TRUE AS near_the_least FROM documents WHERE regexp_matches(text, '[^\s\x{0B}\x{1C}-\x{1F}\x{85}\x{2028}\x{2029}\p{Zs}]')",
     "p7_found": f"WITH {_GRAMS} SELECT doc_id, item_id FROM leaks",
     "p7_leaked_items": f"WITH {_GRAMS} SELECT item_id, count(*) AS n_documents FROM leaks GROUP BY item_id",
     "p5_found": f"WITH {_PAIRS}, firsts AS (SELECT row_id, min(row_id) OVER (PARTITION BY a, b) AS first_row_id FROM pairs) SELECT first_row_id, row_id AS copy_row_id FROM firsts WHERE row_id <> first_row_id",
