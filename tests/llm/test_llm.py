@@ -1,5 +1,6 @@
 """The llm operators against brute force, round trips and hand-made cases."""
 
+import pickle
 import random
 import string
 from collections import Counter, defaultdict
@@ -16,10 +17,11 @@ from weftgraph.llm import components as components_module
 from weftgraph.llm import leaks
 from weftgraph.llm.components import components, mix, unmix
 from weftgraph.llm.copies import canonical_record, mark_copies, split_buckets, terminals
+from weftgraph.llm.dictionaries import Lexicon, installed_lexicon
 from weftgraph.llm.leaks import TEXT_END, Patterns, find_leaks, folded
 from weftgraph.llm.neighbours import nearest, neighbour_pairs, usable
 from weftgraph.llm.packing import pack_documents, packing_checks, sum_of_squares
-from weftgraph.llm.sentences import lattice, sentence_units, unit_starts
+from weftgraph.llm.sentences import sentence_units, unit_starts
 from weftgraph.operators import heavy
 
 
@@ -148,7 +150,7 @@ def brute_neighbours(x, k):
 def test_recall_of_neighbours(spark, bucket):
     x = vectors(900, 25, 3)
     df = spark.createDataFrame([(i, [float(v) for v in r], 1) for i, r in enumerate(x)], "vid long, factor array<double>, t int")
-    got = nearest(df, "vid", "factor", 8, 5, bucket=bucket)
+    got = nearest(df, "vid", "factor", 8, 5, bucket=bucket, radius=0.4)
     found, want = {(r[0], r[1]) for r in got.collect()}, brute_neighbours(x, 5)
     assert len(found & want) / len(want) >= 0.97 and max(Counter(a for a, _ in found).values()) == 5
     pairs = rows(neighbour_pairs(got))
@@ -169,6 +171,9 @@ def test_many_equal_vectors(spark):
     df = spark.range(300).select(F.col("id").alias("vid"), F.array(F.lit(1.0), F.lit(2.0)).alias("factor"))
     got = nearest(df, "vid", "factor", 2, 3, bucket=64)
     assert got.count() == 900 and got.filter("sim < 0.999999").isEmpty()
+    assert {r["vid"]: 1 for r in got.select("vid").distinct().collect()}.keys() == set(range(300))
+    # Equal vectors aren't compared with each other beyond the first few.
+    assert [(r["other"]) for r in got.filter("vid = 200").orderBy("other").collect()] == [0, 1, 2]
 
 
 # -- packing -----------------------------------------------------------------------------------------------------------
@@ -273,6 +278,21 @@ CASES = [
     "मद 8: नेहोर|\n|डॉ. राम ने पृ. 5 पढ़ा। |“क्यों?” राम ने पूछा| |नहीं।",
     "ระเบียบวาระที่ 2 นาเทว|\n|ขอพักการประชุมครับ |ตามข้อ 3.5 การประปาได้ถอนวาระที่สอง |น่าเสียดายที่ดร. ทาเลนเลื่อนวาระที่สอง เพราะฝ่ายค้านถอนวาระที่สองค่ะ |(ปรบมือ) |ยุติธรรมไหม",
     "Corrected version|\n|Once.|Two words here. |Three",
+    # Plain texts of no parliament.
+    "私は学生だ |彼は先生だ |明日は休みだ",
+    "今日は天気がいいです|明日は雨が降ります",
+    "寒いですが、出かけますのでお待ちください。|はい。",
+    "他昨天来过 |我们已经谈好了 |天气很冷",
+    "你吃了吗|我吃了",
+    "ฉันชอบกินข้าว |แม่ทำอาหารอร่อยมาก",
+    "เขาไปตลาด |ซื้อปลา แล้วกลับบ้าน",
+    "We chose plan B. |It works well. |I live in the U.S. |The weather is nice.",
+    "She takes vitamin C. |Then she rests. |Gen. Lee met Capt. Roy. |Rev. Poe and Sen. Ott left.",
+    "J. A. Smith and E. Poe came. |z. B. Die Frau. |He died in 1990. |We saw No. 5.",
+    "هل أنت بخير؟ |نعم۔ |شكرا",
+    "သူ သွားသည်။ |ငါ နေသည်၊ ပြီးတော့ စားသည်။",
+    "គាត់ទៅផ្សារ។ |ខ្ញុំនៅផ្ទះ។",
+    "ຂ້ອຍກິນເຂົ້າ |ເຂົາໄປຕະຫຼາດ",
 ]
 
 
@@ -295,8 +315,20 @@ def test_a_title_with_a_full_stop_is_part_of_a_heading(heading):
 
 
 def test_lattice_takes_dictionary_words():
-    assert lattice("ขอบคุณท่านประธานครับ", True)[0] == "ขอบคุณ" and lattice("ขอบคุณท่านประธานครับ", True)[-1] == "ครับ"
-    assert "".join(lattice("abกรมคลัง", True)) == "abกรมคลัง"
+    words = installed_lexicon()
+    assert words.lattice("ขอบคุณท่านประธานครับ", "thai") == ["ขอบคุณ", "ท่าน", "ประธาน", "ครับ"]
+    assert words.lattice("今日は天気がいいです", "cjk") == ["今日", "は", "天気", "が", "いい", "です"]
+    assert "".join(words.lattice("abประธานx", "thai")) == "abประธานx" and words.lattice("", "thai") == []
+    own = Lexicon({"thai": "กข\nกขค\t10\nง", "cjk": "日本\t5\n日\t50\n本\t50", "lao": ""})
+    assert own.lattice("กขคง", "thai") == ["กขค", "ง"] and pickle.loads(pickle.dumps(own)).lattice("日本日", "cjk") == ["日本", "日"]
+    assert len(own.lattice("ກກ", "lao")) == 2
+
+
+def test_dictionaries_are_read_whole():
+    sizes = {script: text.count("\n") for script, text in installed_lexicon().lists.items()}
+    assert sizes["thai"] > 20_000 and sizes["lao"] > 20_000 and sizes["cjk"] > 200_000
+    words = dict(line.split("\t") for line in installed_lexicon().lists["cjk"].split("\n"))
+    assert int(words["の"]) < int(words["今日"]) and all(len(w) > 0 for w in words)
 
 
 @settings(max_examples=150, deadline=None)
