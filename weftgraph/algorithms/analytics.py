@@ -9,14 +9,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.functions.draws import draw
 from weftgraph.gas import RunResult, VertexProgram, run, signals
 from weftgraph.graph import Dir, Graph
-from weftgraph.session import forget, written
+from weftgraph.operators.heavy import heavy_keys, split_join
+from weftgraph.session import BROADCAST_ROWS, forget, written, written_counted
 
 
-def hashed(c: Column, *more: object) -> Column:
-    """A reproducible uniform number in (0, 1) from a key and seeds."""
-    return (F.pmod(F.xxhash64(c, *(x if isinstance(x, Column) else F.lit(x) for x in more)), F.lit(2**52)).cast("double") + 0.5) / F.lit(float(2**52))
+#: A reproducible uniform number in (0, 1) from a key and seeds.
+hashed = draw
 
 
 # -- ranking -----------------------------------------------------------------------------------------------------------
@@ -98,23 +99,24 @@ def connected_components(graph: Graph, max_rounds: int = 200) -> Graph:
     """
     edges = written(graph.undirected(), "edges")
     both = edges.select(F.inline(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))))
-    labels = written(graph.vertices.select("id", F.col("id").alias("l")), "labels")
+    labels, n = written_counted(graph.vertices.select("id", F.col("id").alias("l")), "labels")
+    # Hubs are hot keys of the join with the edges, labels of large components of the join of labels with labels.
+    hubs = heavy_keys(both, F.col("b")) if n > BROADCAST_ROWS else []
     for _ in range(max_rounds):
-        around = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("l").alias("m"))
-        low = labels.join(around, F.col("id") == F.col("a"), "left").select("id", F.least("l", "m").alias("n"), "l")
+        around = split_join(both, labels.toDF("b", "l"), "b", n, hubs).groupBy("a").agg(F.min("l").alias("m"))
+        low = written(labels.join(around, F.col("id") == F.col("a"), "left").select("id", F.least("l", "m").alias("n"), "l"), "low")
         # Hooking: what a vertex learned also holds for the vertex its old label names.
-        hooks = low.filter("n < l").groupBy(F.col("l").alias("h")).agg(F.min("n").alias("hn"))
-        low = low.join(hooks, F.col("id") == F.col("h"), "left").select("id", F.least("n", "hn").alias("n"), "l")
-        jumped = low.alias("x").join(low.select(F.col("id").alias("j"), F.col("n").alias("jn")), F.col("x.n") == F.col("j"), "left")
-        new = written(jumped.select("id", F.least("n", "jn").alias("l"), F.col("l").alias("was")), "labels")
-        changed = not new.filter("l <> was").isEmpty()
+        hooks, n_hooks = written_counted(low.filter("n < l").groupBy("l").agg(F.min("n").alias("hn")), "hooks")
+        if not n_hooks:
+            forget(low)
+            break
+        hot = heavy_keys(low, F.col("l")) if n_hooks > BROADCAST_ROWS else []
+        low = written(split_join(low, hooks, "l", n_hooks, hot, "left").select("id", F.least("n", "hn").alias("n"), "l"), "low")
+        hot = heavy_keys(low, F.col("n")) if n > BROADCAST_ROWS else []
+        jumped = split_join(low, low.select(F.col("id").alias("n"), F.col("n").alias("jn")), "n", n, hot, "left")
+        new = written(jumped.select("id", F.least("n", "jn").alias("l")), "labels")
         forget(labels)
         labels = new
-        labels_only = new.select("id", "l")
-        labels_only._weft_path = new._weft_path
-        labels = labels_only
-        if not changed:
-            break
     else:
         raise RuntimeError("components did not settle")
     return Graph(graph.vertices.drop("component").join(labels.select("id", F.col("l").alias("component")), "id"), graph.edges)
@@ -198,16 +200,23 @@ def directed_triangle_counts(graph: Graph) -> DataFrame:
     with t -> w -> s to ``cycle`` of s, and with w -> s and w -> t to ``in`` of t.
     """
     e = written(graph.edges.select("src", "dst").distinct(), "distinct")
-    s, t = F.col("src"), F.col("dst")
-    out_out = e.join(e.toDF("src", "w"), "src").join(e.toDF("dst", "w"), ["dst", "w"])  # s->t, s->w, t->w
-    in_in = e.join(e.toDF("w", "src"), "src").join(e.toDF("w", "dst"), ["w", "dst"])  # s->t, w->s, w->t
-    cycle = e.join(e.toDF("w", "src"), "src").join(e.toDF("dst", "w"), ["dst", "w"])  # s->t, w->s, t->w
-    through = e.join(e.toDF("src", "w"), "src").join(e.toDF("w", "dst"), ["w", "dst"])  # s->t, s->w, w->t
-    count = lambda df, c, name: df.groupBy(c.alias("id")).agg(F.count("*").alias(name))
-    out = Graph(graph.vertices, e).degrees()
-    for found in (count(in_in, t, "in_triangles"), count(out_out, s, "out_triangles"), count(through, s, "through_triangles"), count(cycle, s, "cycle_triangles")):
-        out = out.join(found, "id", "left")
-    return out.na.fill(0)
+    # The undirected triangles are listed once, from their ends of least degree; then the directions of their sides are looked up.
+    way = F.when(F.col("src") < F.col("dst"), 1).otherwise(2)
+    ways = written(e.groupBy(F.least("src", "dst").alias("p"), F.greatest("src", "dst").alias("q")).agg(F.sum(way).alias("w")), "ways")  # 1: up, 2: down, 3: both
+    found = triangles(graph).select(F.array_sort(F.array("x", "y", "z")).alias("t")).select(*(F.col("t")[i].alias(c) for i, c in enumerate("xyz")))
+    for p, q in (("x", "y"), ("y", "z"), ("x", "z")):
+        found = found.join(ways.toDF(p, q, f"{p}{q}"), [p, q])
+    goes = lambda p, q: ((F.col(p + q) if p < q else F.col(q + p)).bitwiseAND(1 if p < q else 2) > 0).cast("int")
+    corners = []
+    for s, t, w in (("x", "y", "z"), ("x", "z", "y"), ("y", "x", "z"), ("y", "z", "x"), ("z", "x", "y"), ("z", "y", "x")):
+        edge = goes(s, t)
+        zero = F.lit(0)
+        corners.append(F.struct(F.col(t).alias("id"), (edge * goes(w, s) * goes(w, t)).alias("i"), zero.alias("o"), zero.alias("h"), zero.alias("c")))
+        corners.append(F.struct(F.col(s).alias("id"), zero.alias("i"), (edge * goes(s, w) * goes(t, w)).alias("o"), (edge * goes(s, w) * goes(w, t)).alias("h"), (edge * goes(w, s) * goes(t, w)).alias("c")))
+    named = {"i": "in_triangles", "o": "out_triangles", "h": "through_triangles", "c": "cycle_triangles"}
+    counts = found.select(F.inline(F.array(*corners))).groupBy("id").agg(*(F.sum(c).alias(name) for c, name in named.items()))
+    degrees = Graph(graph.vertices, e).degrees()
+    return degrees.join(counts, "id", "left").na.fill(0).select("id", *named.values(), "in_degree", "out_degree")
 
 
 # -- colouring ---------------------------------------------------------------------------------------------------------
@@ -215,12 +224,12 @@ def color(graph: Graph, order: str = "hash", seed: int = 0, max_rounds: int = 10
     """A proper colouring in column ``color`` (0, 1, ...), by rounds of independent sets.
 
     A vertex takes the smallest colour free among its neighbours as soon as it comes before all uncoloured neighbours.
-    order: ``hash`` (pseudo-random), ``degree`` (most edges first) or ``saturation`` (most colours around first,
-    re-judged each round).
+    order: ``hash`` (pseudo-random), ``degree`` (most out-edges first) or ``saturation`` (most colours around first, at the
+    start most neighbours; re-judged each round). It is an error if ``max_rounds`` don't do.
     """
     pairs = written(graph.undirected(), "pairs")
     both = pairs.select(F.inline(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))))
-    degree = both.groupBy("a").agg(F.count("*").alias("deg"))
+    degree = both.groupBy("a").agg(F.count("*").alias("deg")) if order != "degree" else graph.degrees().select(F.col("id").alias("a"), F.col("out_degree").alias("deg"))
     first = F.lit(0) if order == "hash" else F.coalesce("deg", F.lit(0))
     state = written(graph.vertices.select("id").join(degree, F.col("id") == F.col("a"), "left").select("id", first.cast("double").alias("p"), hashed(F.col("id"), seed).alias("h"), F.lit(None).cast("int").alias("color")), "colors")
     for _ in range(max_rounds):
@@ -239,13 +248,15 @@ def color(graph: Graph, order: str = "hash", seed: int = 0, max_rounds: int = 10
         new = written(joined.select("id", priority.alias("p"), "h", chosen.cast("int").alias("color")), "colors")
         forget(state)
         state = new
+    else:
+        raise RuntimeError(f"vertices without a colour after {max_rounds} rounds")
     return Graph(graph.vertices.drop("color").join(state.select("id", "color"), "id"), graph.edges)
 
 
 def color_conflicts(graph: Graph) -> DataFrame:
-    """One row: the number of colours and of edges whose ends share one."""
+    """One row: the number of colours and of edges whose ends share one or lack one."""
     ends = graph.triplets(["color"], ["color"])
-    conflicts = ends.agg(F.coalesce(F.sum((F.col("s_color") == F.col("t_color")).cast("long")), F.lit(0)).alias("n_conflicts"))
+    conflicts = ends.agg(F.coalesce(F.sum(F.coalesce(F.col("s_color") == F.col("t_color"), F.lit(True)).cast("long")), F.lit(0)).alias("n_conflicts"))
     return graph.vertices.agg(F.countDistinct("color").alias("n_colors")).crossJoin(F.broadcast(conflicts))
 
 
@@ -254,7 +265,7 @@ FM_CONSTANT = 0.77351  # fixed value of the Flajolet-Martin estimate
 
 
 def approximate_diameter(graph: Graph, tol: float = 1e-4, masks: int = 10, seed: int = 0, max_hops: int = 100, exact: bool = False) -> tuple[int, list[float]]:
-    """(hops, pair counts by hop): the hop after which the pairs within reach grow by less than the factor 1 + tol.
+    """(diameter, pair counts by hop): the last hop by which the pairs within reach grow by the factor 1 + tol or more.
 
     Each vertex keeps ``masks`` bit masks (or, exact, the set of ids) of what it reaches along out-edges.
     """
@@ -269,8 +280,8 @@ def approximate_diameter(graph: Graph, tol: float = 1e-4, masks: int = 10, seed:
             forget(state)
             state = new
             counts.append(float(state.count()))
-            if hop > 1 and counts[-1] < counts[-2] * (1 + tol):
-                return hop, counts
+            if counts[-1] < counts[-2] * (1 + tol):
+                return hop - 1, counts
         return max_hops, counts
     names = [f"m{i}" for i in range(masks)]
     # The place of a bit: the number of trailing ones of a hash, so bit j has probability 2^-(j+1).
@@ -291,8 +302,8 @@ def approximate_diameter(graph: Graph, tol: float = 1e-4, masks: int = 10, seed:
         forget(state)
         state = new
         counts.append(float(pairs(state)))
-        if hop > 1 and counts[-1] < counts[-2] * (1 + tol):
-            return hop, counts
+        if counts[-1] < counts[-2] * (1 + tol):
+            return hop - 1, counts
     return max_hops, counts
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.algorithms.analytics import hashed
+from weftgraph.functions.draws import mixed
 from weftgraph.functions.batches import grouped_vector_sum, map_rows, matrix
 from weftgraph.functions.sparse import cosamp
 from weftgraph.session import written
@@ -241,15 +242,15 @@ def implicit_ratings(ratings: DataFrame, fraction: float, value: float, weight:
     """
     users = ratings.filter("user IS NOT NULL").select("user").distinct()
     listed = ratings.filter("item IS NOT NULL").select("item").distinct()
-    from pyspark.sql import Window
+    from weftgraph.sources.graphs import numbered
 
     n = listed.count()
     if not n:
         return ratings
-    numbered = listed.withColumn("slot", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("item")).cast("long") - 1)
+    slots = numbered(listed, "item", "place").select("item", (F.col("place") - 1).alias("slot"))
     draws = max(1, round(fraction * n))
-    drawn = users.select("user", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("k")).select("user", F.pmod(F.xxhash64("user", "k", F.lit(seed)), F.lit(n)).alias("slot")).distinct()
-    extra = drawn.join(numbered, "slot").select("user", "item").join(ratings.select("user", "item").distinct(), ["user", "item"], "left_anti")
+    drawn = users.select("user", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("k")).select("user", F.pmod(mixed(F.col("user"), F.col("k"), seed), F.lit(n)).alias("slot")).distinct()
+    extra = drawn.join(slots, "slot").select("user", "item").join(ratings.select("user", "item").distinct(), ["user", "item"], "left_anti")
     made = extra.withColumns({"rating": F.lit(float(value)), "weight": F.lit(float(weight)), "role": F.lit("train")})
     return (ratings if "weight" in ratings.columns else ratings.withColumn("weight", F.lit(1.0))).unionByName(made, allowMissingColumns=True)
 
@@ -264,7 +265,8 @@ def adpredictor(clicks: DataFrame, iterations: int = 1, beta: float = 1.0, prior
     for _ in range(iterations):
         rows = clicks.join(state, "feature").groupBy("row_id").agg(F.first("label").alias("label"), F.sum("mu").alias("m"), (F.sum("s2") + beta * beta).alias("s"))
         t = F.col("label") * F.col("m") / F.sqrt("s")
-        # v = density / distribution of the standard normal at t, w = v (v + t); the distribution by the series of erfc.
+        # v = density / distribution of the standard normal at t, w = v (v + t); fixed values: the published coefficients of
+        # an approximation of erfc (error below 2e-7).
         x = F.abs(t) / F.sqrt(F.lit(2.0))
         k = 1 / (1 + 0.3275911 * x)
         erfc = k * (0.254829592 + k * (-0.284496736 + k * (1.421413741 + k * (-1.453152027 + k * 1.061405429)))) * F.exp(-x * x)

@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.functions.draws import exponential
 from weftgraph.graph import Dir, Graph, VertexSet
 
 
@@ -41,9 +42,8 @@ def top_k(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataF
 
 
 def reservoir_one(df: DataFrame, weight: Column, key: Column, seed: int = 0) -> DataFrame:
-    """One row drawn in proportion to its weight: the least of -ln(u) / w, u from a hash of the row's key and the seed."""
-    u = (F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(2**52)).cast("double") + 0.5) / F.lit(float(2**52))
-    return df.filter(weight > 0).agg(F.min_by(F.struct(*df.columns), -F.log(u) / weight).alias("row")).filter("row IS NOT NULL").select("row.*")
+    """One row drawn in proportion to its weight: the least of -ln(u) / w, u drawn from the row's key (a unique long) and the seed."""
+    return df.filter(weight > 0).agg(F.min_by(F.struct(*df.columns), F.struct(exponential(key, seed) / weight, key)).alias("row")).filter("row IS NOT NULL").select("row.*")
 
 
 def vector_sum(df: DataFrame, group: list[str], vector: str) -> DataFrame:

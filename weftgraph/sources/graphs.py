@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.functions.draws import draw, mixed
 from weftgraph.graph import Graph
 
 ISOLATED = 2**32 - 1  # fixed value: the target that marks a vertex without edges in bintsv4
@@ -27,6 +28,13 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("line")).filter("line <> ''")
 
 
+def numbered_lines(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """``lines`` with a number each; written, as such numbers may change from one evaluation to the next."""
+    from weftgraph.session import written
+
+    return written(lines(spark, path).withColumn(name, F.monotonically_increasing_id()), "lines")
+
+
 def _checked(ok: Column, value: Column, mode: str, what: str) -> Column:
     # Lines that aren't data give NULL here too: filters may be evaluated in another order.
     line = F.col("line")
@@ -190,9 +198,13 @@ def numbered(df: DataFrame, by: str, name: str) -> DataFrame:
 
     # Written, as the ids must not change between the two uses.
     placed = written(placed.withColumns({"__p": part, "__l": local}).drop("__m"), "numbered")
-    sizes = placed.groupBy("__p").agg(F.count("*").alias("c"))
-    before = sizes.toDF("q", "d").crossJoin(F.broadcast(sizes)).filter("__p > q").groupBy("__p").agg(F.sum("d").alias("before"))  # a row per partition
-    return placed.join(F.broadcast(before), "__p", "left").withColumn(name, F.coalesce("before", F.lit(0)) + F.col("__l") + 1).drop("__p", "__l", "before")
+    sizes = placed.groupBy("__p").agg(F.count("*").alias("c")).orderBy("__p").collect()  # a row per partition
+    before, rows = 0, []
+    for r in sizes:
+        rows.append((r["__p"], before))
+        before += r["c"]
+    starts = df.sparkSession.createDataFrame(rows, "__p long, __b long")
+    return placed.join(F.broadcast(starts), "__p").withColumn(name, F.col("__b") + F.col("__l") + 1).drop("__p", "__l", "__b")
 
 
 def hypergraph_lines(graph: Graph) -> DataFrame:
@@ -221,8 +233,6 @@ def powerlaw(spark: SparkSession, n: int, alpha: float = 2.1, truncate: int | No
     formula and inverted by bisection. Targets walk by a fixed stride, so an edge needs no draw of its own and a loop is
     stepped over.
     """
-    from weftgraph.algorithms.analytics import hashed
-
     most = min(n - 1, truncate or n - 1)
     if most < 1:
         return Graph(spark.range(n), spark.createDataFrame([], "src long, dst long"))
@@ -246,8 +256,8 @@ def powerlaw(spark: SparkSession, n: int, alpha: float = 2.1, truncate: int | No
                 d[far] = low
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.minimum(d, most), pa.int64())], ["id", "d"])
 
-    drawn = spark.range(n).select("id", hashed(F.col("id"), seed).alias("u")).mapInArrow(degrees, "id long, d long")
-    begin = F.pmod(F.xxhash64("id", F.lit(seed), F.lit(1)), F.lit(n))
+    drawn = spark.range(n).select("id", draw(F.col("id"), seed).alias("u")).mapInArrow(degrees, "id long, d long")
+    begin = F.pmod(mixed(F.col("id"), seed, 1), F.lit(n))
     # Large degrees are walked in portions, so no array is longer than one.
     portion = F.lit(100_000).cast("long")
     parts = drawn.select("id", "d", begin.alias("b"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("d"), portion)).alias("f"))
@@ -278,9 +288,9 @@ def item_vertex(item: Column) -> Column:
 
 
 def read_clicks(spark: SparkSession, path: str) -> DataFrame:
-    """(row_id, label, feature): ``label feat:1 feat:1 ...`` with label 1 or -1; row ids are hashes of place and line."""
+    """(row_id, label, feature): ``label feat:1 feat:1 ...`` with label 1 or -1; rows are numbered by the reader, once."""
     p = F.split("line", r"\s+")
-    rows = lines(spark, path).withColumn("row_id", F.monotonically_increasing_id())
+    rows = numbered_lines(spark, path, "row_id")
     feats = F.transform(F.slice(p, F.lit(2), F.size(p) - 1), lambda x: F.split(x, ":")[0].try_cast("long"))
     return rows.select("row_id", p[0].try_cast("int").alias("label"), F.explode(feats).alias("feature"))
 
@@ -288,7 +298,7 @@ def read_clicks(spark: SparkSession, path: str) -> DataFrame:
 def read_points(spark: SparkSession, path: str, ids: bool = False, sparse: bool = False, dim: int | None = None) -> DataFrame:
     """(id, point): numbers apart by spaces or commas; sparse: ``index:value``. Without ids, rows are numbered by the reader."""
     p = F.split("line", r"[\s,]+")
-    rows = lines(spark, path).withColumn("id", p[0].try_cast("long") if ids else F.monotonically_increasing_id())
+    rows = lines(spark, path).withColumn("id", p[0].try_cast("long")) if ids else numbered_lines(spark, path, "id")
     cells = F.slice(p, F.lit(2), F.size(p) - 1) if ids else p
     if not sparse:
         return rows.select("id", F.transform(cells, lambda x: x.try_cast("double")).alias("point"))
