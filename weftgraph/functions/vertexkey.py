@@ -77,3 +77,9 @@ def sql_key(column: str) -> str:
     """DuckDB SQL for the key text of a column, NULL if unusable."""
     s = rf"regexp_replace({column}, '[^\p{{L}}\p{{N}}]+', '', 'g')"
     return f"CASE WHEN regexp_full_match({s}, '[A-Za-z]{{3}}[0-9]{{9}}') THEN lower({s}) END"
+
+
+def sql_code(column: str) -> str:
+    """DuckDB SQL for the key of a column as a number, NULL if unusable."""
+    k = sql_key(column)
+    return f"list_transform([{k}], lambda k: ((ascii(k[1]) - 97) * 676 + (ascii(k[2]) - 97) * 26 + ascii(k[3]) - 97)::BIGINT * {DIGITS} + k[4:12]::BIGINT)[1]"

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.algorithms import analytics, centrality
+from weftgraph.functions.draws import draw, sql_draw, sql_mixed
+from weftgraph.functions.vertexkey import coded, sql_code
 from weftgraph.gas import Aggregator, VertexProgram, run, signals
-from weftgraph.graph import Dir, Graph
+from weftgraph.graph import Dir, Graph, VertexSet
 from weftgraph.operators.neighborhood import broadcast_neighborhood, top_k, transform_neighborhood
 from weftgraph.plans.tables import table
 from weftgraph.session import written
-from weftgraph.sources.graphs import metis_lines, parse_edges, save_graph, load_graph, powerlaw
+from weftgraph.sources.graphs import LAST_STEP, metis_lines, parse_edges, save_graph, load_graph, powerlaw
 from weftgraph.session import scratch_path
 from weftgraph.streaming.incremental import event_windows, merge_components
 
@@ -44,9 +49,15 @@ def place_tree(spark: SparkSession, d: str) -> Graph:
     return Graph.build(c.unionByName(s).unionByName(n))
 
 
+def match_graph(spark: SparkSession, d: str) -> Graph:
+    """Vertex keys as numbers, linked where a row of test_tsv names both: hubs, long chains, many small components."""
+    return Graph.build(coded(table(spark, d, "test_tsv"), {"src": F.col("c0"), "dst": F.col("c1")}))
+
+
 BIP = f"edges AS (SELECT DISTINCT o_custkey AS src, l_suppkey + {OFFSET} AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey), ids AS (SELECT src AS id FROM edges UNION SELECT dst FROM edges UNION SELECT c_custkey FROM customer)"
 CONSEC = "edges AS MATERIALIZED (SELECT a.o_custkey AS src, b.o_custkey AS dst, (a.o_orderkey % 7 + 1)::DOUBLE AS weight, a.o_orderkey FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 WHERE a.o_custkey <> b.o_custkey), ids AS MATERIALIZED (SELECT src AS id FROM edges UNION SELECT dst FROM edges)"
 TREE = f"edges AS MATERIALIZED (SELECT c_custkey AS src, (c_nationkey + {2 * OFFSET})::BIGINT AS dst FROM customer UNION ALL SELECT s_suppkey + {OFFSET}, s_nationkey + {2 * OFFSET} FROM supplier UNION ALL SELECT n_nationkey + {2 * OFFSET}, n_regionkey + {3 * OFFSET} FROM nation), ids AS MATERIALIZED (SELECT src AS id FROM edges UNION SELECT dst FROM edges)"
+MATCH = f"edges AS MATERIALIZED (SELECT src, dst FROM (SELECT {sql_code('c0')} AS src, {sql_code('c1')} AS dst FROM test_tsv) WHERE src <> dst), ids AS MATERIALIZED (SELECT src AS id FROM edges UNION SELECT dst FROM edges)"
 NEAR = "near AS MATERIALIZED (SELECT src AS a, dst AS b FROM edges UNION ALL SELECT dst, src FROM edges)"
 PAIRS = "pairs AS MATERIALIZED (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges)"
 SEGMENTS = "AUTOMOBILE BUILDING FURNITURE HOUSEHOLD MACHINERY".split()
@@ -131,18 +142,37 @@ def g_map_reduce_vertices(spark: SparkSession, d: str) -> DataFrame:
 
 
 
-@query("SELECT c_mktsegment AS label, sum(CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END)::BIGINT AS n_positive FROM customer GROUP BY 1")
+def _counted(batches: Iterator[pd.DataFrame], value: str) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        x = b[value].dropna()
+        yield pd.DataFrame({"n": [len(x)], "n_positive": [int((x > 0).sum())], "most": [float(x.max()) if len(x) else float("-inf")]})
+
+
+def _folded() -> dict:
+    return {"n": F.sum("n"), "n_positive": F.sum("n_positive"), "most": F.max("most")}
+
+
+@query("SELECT count(c_acctbal) AS n, sum(CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END)::BIGINT AS n_positive, max(c_acctbal) AS most FROM customer")
 def g_fold_vertices(spark: SparkSession, d: str) -> DataFrame:
-    """A fold by batches, one partial row per batch and label."""
-    import pandas as pd
+    """A fold by batches, one partial row per batch."""
+    return customer_supplier(spark, d).fold_vertices(lambda batches: _counted(batches, "balance"), "n long, n_positive long, most double", _folded())
+
 
-    def partial(batches):
-        for b in batches:
-            b = b[b["label"].notna()]
-            yield (b["balance"] > 0).groupby(b["label"]).sum().astype("int64").rename("n").reset_index()[["label", "n"]] if len(b) else pd.DataFrame({"label": [], "n": []})
+@query(f"WITH {CONSEC} SELECT count(*) AS n, count(*) AS n_positive, max(weight) AS most FROM edges WHERE dst IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def g_fold_edges(spark: SparkSession, d: str) -> DataFrame:
+    """A fold over the edges that arrive at customers who owe money."""
+    g = consecutive_customers(spark, d)
+    poor = table(spark, d, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("id"))
+    return g.fold_edges(lambda batches: _counted(batches, "weight"), "n long, n_positive long, most double", _folded(), VertexSet(g, poor))
 
+
+@query(f"WITH {BIP} SELECT s_suppkey + {OFFSET} AS id, s_acctbal + coalesce(n, 0) AS balance FROM supplier LEFT JOIN (SELECT dst, count(*) AS n FROM edges GROUP BY dst) ON dst = s_suppkey + {OFFSET}")
+def g_right_injective_join(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers, updated by the number of their customers in the other graph."""
     g = customer_supplier(spark, d)
-    return g.vertices.mapInPandas(partial, "label string, n long").groupBy("label").agg(F.sum("n").alias("n_positive"))
+    left = Graph(g.degrees(), g.edges)
+    right = Graph(table(spark, d, "supplier").select((F.col("s_suppkey") + OFFSET).alias("id"), F.col("s_acctbal").alias("balance")), g.edges)
+    return left.right_injective_join(right, F.col("id"), F.col("id"), {"balance": F.col("balance") + F.col("r_in_degree")}).vertices.select("id", "balance")
 
 
 @query(f"WITH {BIP} SELECT dst AS id, count(*) AS n_buyers, round(avg(c_acctbal), 6) AS mean_balance FROM edges JOIN customer ON src = c_custkey GROUP BY dst")
@@ -210,9 +240,26 @@ def g_pagerank_program(spark: SparkSession, d: str) -> DataFrame:
     return done.graph.vertices.select("id", F.round("rank", 6).alias("rank"))
 
 
-@query()
+def _dynamic_sql(n: int, start: float, tol: float, per_edge: bool) -> str:
+    """Supersteps with active vertices; once nothing is active the state stays."""
+    steps = [f"deg AS MATERIALIZED (SELECT src, count(*) AS d FROM edges GROUP BY src), r0 AS MATERIALIZED (SELECT id, {start}::DOUBLE AS rank, NULL::DOUBLE AS old, TRUE AS was FROM ids), a0 AS MATERIALIZED (SELECT id FROM ids)"]
+    for k in range(1, n + 1):
+        steps.append(
+            f"s{k} AS MATERIALIZED (SELECT dst, sum(rank / d) AS s FROM edges JOIN deg USING (src) JOIN r{k - 1} ON id = src WHERE dst IN (SELECT id FROM a{k - 1}) GROUP BY dst), "
+            f"r{k} AS MATERIALIZED (SELECT x.id, CASE WHEN a.id IS NULL THEN x.rank ELSE 0.15 + 0.85 * coalesce(s, 0) END AS rank, x.rank AS old, a.id IS NOT NULL AS was FROM r{k - 1} x LEFT JOIN a{k - 1} a USING (id) LEFT JOIN s{k} ON dst = x.id), "
+            f"a{k} AS MATERIALIZED (SELECT DISTINCT dst AS id FROM edges JOIN deg USING (src) JOIN r{k} ON id = src WHERE was AND abs(rank - old){' / d' if per_edge else ''} > {tol})"
+        )
+    return f"WITH {CONSEC}, {', '.join(steps)} SELECT id, round(rank, 5) AS rank FROM r{n}"
+
+
+@query(_dynamic_sql(20, 1.0, 0.01, False))
 def g_pagerank_dynamic(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.pagerank(customer_supplier(spark, d), tol=1e-2, max_iterations=20).vertices.select("id", "rank")
+    return analytics.pagerank(consecutive_customers(spark, d), tol=1e-2, max_iterations=20).vertices.select("id", F.round("rank", 5).alias("rank"))
+
+
+@query(_dynamic_sql(20, 0.15, 0.001, True))
+def g_extension_pagerank(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.extension_pagerank(consecutive_customers(spark, d), tol=1e-3, max_iterations=20).vertices.select("id", F.round("rank", 5).alias("rank"))
 
 
 @query(f"WITH {CONSEC}, {NEAR} SELECT a AS id, count(*)::DOUBLE AS n_received FROM near GROUP BY a")
@@ -245,26 +292,35 @@ def g_sssp_weighted(spark: SparkSession, d: str) -> DataFrame:
     return analytics.sssp(g, [root], weight="weight").vertices.select("id", "dist")
 
 
-def _components_sql(source: str, rounds: int, tail: str) -> str:
-    steps = ["c0 AS (SELECT id, id AS component FROM ids)"]
+def components_sql(source: str, rounds: int, tail: str) -> str:
+    """Minimum labels with hooking and jumping, unrolled; ``tail`` selects from ``final`` (id, component)."""
+    steps = ["c0 AS (SELECT id, id AS l FROM ids)"]
     for k in range(1, rounds + 1):
-        steps.append(f"c{k} AS MATERIALIZED (SELECT x.id, least(x.component, coalesce(m, x.component)) AS component FROM c{k - 1} x LEFT JOIN (SELECT a, min(component) AS m FROM near JOIN c{k - 1} ON id = b GROUP BY a) ON a = x.id)")
-    return f"WITH {source}, {NEAR}, {', '.join(steps)}, final AS (SELECT * FROM c{rounds}) {tail}"
+        steps.append(
+            f"n{k} AS MATERIALIZED (SELECT x.id, x.l, least(x.l, coalesce(m, x.l)) AS n FROM c{k - 1} x LEFT JOIN (SELECT a, min(l) AS m FROM near JOIN c{k - 1} ON id = b GROUP BY a) ON a = x.id), "
+            f"h{k} AS MATERIALIZED (SELECT l AS h, min(n) AS hn FROM n{k} WHERE n < l GROUP BY l), "
+            f"j{k} AS MATERIALIZED (SELECT id, least(n, coalesce(hn, n)) AS n FROM n{k} LEFT JOIN h{k} ON h = id), "
+            f"c{k} AS MATERIALIZED (SELECT x.id, least(x.n, coalesce(y.n, x.n)) AS l FROM j{k} x LEFT JOIN j{k} y ON y.id = x.n)"
+        )
+    return f"WITH {source}, {NEAR}, {', '.join(steps)}, final AS (SELECT id, l AS component FROM c{rounds}) {tail}"
+
+
+ROUNDS = 16
 
 
-@query(_components_sql(TREE, 6, "SELECT id, component FROM final"))
+@query(components_sql(MATCH, ROUNDS, "SELECT id, component FROM final"))
 def g_components(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.connected_components(place_tree(spark, d)).vertices.select("id", "component")
+    return analytics.connected_components(match_graph(spark, d)).vertices.select("id", "component")
 
 
-@query(_components_sql(TREE, 6, "SELECT size, count(*) AS n_components FROM (SELECT count(*) AS size FROM final GROUP BY component) GROUP BY size"))
+@query(components_sql(MATCH, ROUNDS, "SELECT size, count(*) AS n_components FROM (SELECT count(*) AS size FROM final GROUP BY component) GROUP BY size"))
 def g_component_sizes(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.component_sizes(analytics.connected_components(place_tree(spark, d)).vertices)
+    return analytics.component_sizes(analytics.connected_components(match_graph(spark, d)).vertices)
 
 
-@query(_components_sql(TREE, 6, "SELECT src, dst, min(src) OVER w AS component_src, arg_min(dst, (src, dst)) OVER w AS component_dst FROM edges JOIN final ON id = src WINDOW w AS (PARTITION BY component)"))
+@query(components_sql(MATCH, ROUNDS, ", e AS (SELECT DISTINCT src, dst FROM edges), f AS (SELECT component, min((src, dst)) AS m FROM e JOIN final ON id = src GROUP BY 1) SELECT src, dst, m[1] AS component_src, m[2] AS component_dst FROM e JOIN final ON id = src JOIN f USING (component)"))
 def g_bond_percolation(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.bond_percolation(place_tree(spark, d))
+    return analytics.bond_percolation(match_graph(spark, d))
 
 
 @query(f"WITH {CONSEC} SELECT id AS id, (SELECT min(id) FROM ids)::DOUBLE AS low FROM ids")
@@ -314,32 +370,61 @@ def g_directed_triangles(spark: SparkSession, d: str) -> DataFrame:
     return analytics.directed_triangle_counts(consecutive_customers(spark, d))
 
 
-@query("SELECT 0::BIGINT AS n_conflicts")
+def _color_sql(order: str, rounds: int) -> str:
+    first = {"hash": "0.0", "degree": "(SELECT count(*) FROM edges WHERE src = ids.id)", "saturation": "(SELECT count(*) FROM nb WHERE a = ids.id)"}[order]
+    steps = [f"{PAIRS}, nb AS MATERIALIZED (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs), s0 AS MATERIALIZED (SELECT id, ({first})::DOUBLE AS p, {sql_draw('id', 0)} AS h, NULL::BIGINT AS color FROM ids)"]
+    for k in range(1, rounds + 1):
+        p = "CASE WHEN a.id IS NULL THEN p ELSE len(used) END" if order == "saturation" else "p"
+        steps.append(
+            f"a{k} AS MATERIALIZED (SELECT m.id, bool_or(t.color IS NULL AND (t.p > m.p OR (t.p = m.p AND (t.h > m.h OR (t.h = m.h AND t.id > m.id))))) AS later, coalesce(list(DISTINCT t.color) FILTER (t.color IS NOT NULL), []) AS used FROM s{k - 1} m JOIN nb ON a = m.id JOIN s{k - 1} t ON t.id = b WHERE m.color IS NULL GROUP BY m.id), "
+            f"s{k} AS MATERIALIZED (SELECT s.id, {p} AS p, h, CASE WHEN color IS NOT NULL THEN color WHEN NOT later THEN list_min(list_filter(range(0, len(used) + 1), lambda c: NOT list_contains(used, c))) END AS color FROM s{k - 1} s LEFT JOIN a{k} a ON a.id = s.id)"
+        )
+    return f"WITH {CONSEC}, {', '.join(steps)} SELECT id, color FROM s{rounds}"
+
+
+def _colored(spark: SparkSession, d: str, order: str) -> DataFrame:
+    return analytics.color(consecutive_customers(spark, d), order).vertices.select("id", F.col("color").cast("long").alias("color"))
+
+
+@query(_color_sql("hash", 60))
 def g_coloring(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.color_conflicts(analytics.color(place_tree(spark, d))).select("n_conflicts")
+    return _colored(spark, d, "hash")
 
 
-@query("SELECT 0::BIGINT AS n_conflicts")
+@query(_color_sql("degree", 60))
 def g_coloring_by_degree(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.color_conflicts(analytics.color(place_tree(spark, d), "degree")).select("n_conflicts")
+    return _colored(spark, d, "degree")
 
 
-@query("SELECT 0::BIGINT AS n_conflicts")
+@query(_color_sql("saturation", 90))
 def g_coloring_by_saturation(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.color_conflicts(analytics.color(place_tree(spark, d), "saturation")).select("n_conflicts")
+    return _colored(spark, d, "saturation")
 
 
-@query(f"WITH {TREE}, one AS (SELECT DISTINCT src, dst FROM edges), two AS (SELECT DISTINCT a.src, b.dst FROM one a JOIN one b ON b.src = a.dst) SELECT 0 AS hop, count(*)::DOUBLE AS pairs FROM ids UNION ALL SELECT 1, (SELECT count(*) FROM ids) + (SELECT count(*) FROM one) UNION ALL SELECT 2, (SELECT count(*) FROM ids) + (SELECT count(*) FROM one) + (SELECT count(*) FROM two) UNION ALL SELECT 3, (SELECT count(*) FROM ids) + (SELECT count(*) FROM one) + (SELECT count(*) FROM two)")
+def _hops(spark: SparkSession, found: tuple[int, list[float]]) -> DataFrame:
+    return spark.createDataFrame([(hop, n, found[0]) for hop, n in enumerate(found[1])], "hop int, pairs double, diameter int")
+
+
+@query(f"WITH {TREE}, one AS (SELECT DISTINCT src, dst FROM edges), two AS (SELECT DISTINCT a.src, b.dst FROM one a JOIN one b ON b.src = a.dst), n AS (SELECT (SELECT count(*) FROM ids) AS n0, (SELECT count(*) FROM one) AS n1, (SELECT count(*) FROM two) AS n2) SELECT h AS hop, (n0 + CASE WHEN h > 0 THEN n1 ELSE 0 END + CASE WHEN h > 1 THEN n2 ELSE 0 END)::DOUBLE AS pairs, 2 AS diameter FROM n, range(4) t(h)")
 def g_diameter_exact(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs within reach by hop; the last hop is the diameter found."""
-    _, counts = analytics.approximate_diameter(place_tree(spark, d), exact=True)
-    return spark.createDataFrame(list(enumerate(counts)), "hop int, pairs double")
+    """Pairs within reach by hop, and the diameter: the last hop that adds pairs."""
+    return _hops(spark, analytics.approximate_diameter(place_tree(spark, d), exact=True))
+
 
+def _sketch_sql(masks: int, hops: int, tol: float) -> str:
+    names = [f"m{i}" for i in range(masks)]
+    bits = ", ".join(f"(1::BIGINT << least(61, floor(-log2({sql_draw('id', 0, i)}))::INT)) AS m{i}" for i in range(masks))
+    steps = [f"e AS MATERIALIZED (SELECT DISTINCT src, dst FROM edges), k0 AS MATERIALIZED (SELECT id, {bits} FROM ids)"]
+    ones = " + ".join(f"(bit_count(xor({m}, {m} + 1)) - 1)" for m in names)
+    for k in range(1, hops + 1):
+        steps.append(f"k{k} AS MATERIALIZED (SELECT id, {', '.join(f'bit_or({m}) AS {m}' for m in names)} FROM (SELECT * FROM k{k - 1} UNION ALL SELECT src, {', '.join(names)} FROM e JOIN k{k - 1} ON id = dst) GROUP BY id)")
+    counts = " UNION ALL ".join(f"SELECT {k} AS hop, sum(floor(pow(2.0, ({ones}) / {masks}.0) / {analytics.FM_CONSTANT})) AS pairs FROM k{k}" for k in range(hops + 1))
+    return f"WITH {CONSEC}, {', '.join(steps)}, c AS MATERIALIZED ({counts}), g AS (SELECT *, pairs < lag(pairs) OVER (ORDER BY hop) * (1 + {tol}) AS still FROM c), f AS (SELECT min(hop) AS stop FROM g WHERE still) SELECT hop, pairs, stop - 1 AS diameter FROM c, f WHERE hop <= stop"
 
-@query()
+
+@query(_sketch_sql(10, 12, 1e-4))
 def g_diameter_sketched(spark: SparkSession, d: str) -> DataFrame:
-    _, counts = analytics.approximate_diameter(consecutive_customers(spark, d))
-    return spark.createDataFrame(list(enumerate(counts)), "hop int, pairs double")
+    return _hops(spark, analytics.approximate_diameter(consecutive_customers(spark, d)))
 
 
 _LAPLACE = f"WITH {CONSEC}, w AS MATERIALIZED (SELECT least(src, dst) AS a, greatest(src, dst) AS b, sum(weight) AS w FROM edges GROUP BY 1, 2), s AS MATERIALIZED (SELECT a AS i, b AS j, w FROM w UNION ALL SELECT b, a, w FROM w), deg AS MATERIALIZED (SELECT i, sum(w) AS d FROM s GROUP BY i)"
@@ -367,7 +452,15 @@ def g_label_propagation(spark: SparkSession, d: str) -> DataFrame:
     return analytics.label_propagation(customer_supplier(spark, d), max_iterations=3).vertices.select("id", "label")
 
 
-@query()
+def _cascade_sql(steps: int) -> str:
+    out = ["s0 AS MATERIALIZED (SELECT i.id, CASE WHEN c_acctbal < 0 THEN 'I' ELSE 'S' END AS s FROM ids i LEFT JOIN customer ON c_custkey = i.id)"]
+    for k in range(steps):
+        u = sql_draw("x.id", k, 0)
+        out.append(f"s{k + 1} AS MATERIALIZED (SELECT x.id, CASE WHEN s = 'I' AND {u} < 0.2 THEN 'R' WHEN s = 'S' AND {u} < 1 - pow(0.7, coalesce(n, 0)) THEN 'I' ELSE s END AS s FROM s{k} x LEFT JOIN (SELECT a, count(*) AS n FROM near JOIN s{k} ON id = b WHERE s = 'I' GROUP BY a) ON a = x.id)")
+    return f"WITH {BIP.replace('AS (SELECT', 'AS MATERIALIZED (SELECT')}, {NEAR}, {', '.join(out)} SELECT id, s AS status FROM s{steps}"
+
+
+@query(_cascade_sql(4))
 def g_cascade(spark: SparkSession, d: str) -> DataFrame:
     """Whoever owes money is infected at the start."""
     g = customer_supplier(spark, d)
@@ -380,41 +473,71 @@ def g_topological_levels(spark: SparkSession, d: str) -> DataFrame:
     return analytics.topological_levels(place_tree(spark, d))[0].select("id", "level")
 
 
-@query()
+def _exp_sql(terms: int) -> str:
+    steps = [f"{PAIRS}, nb AS MATERIALIZED (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs), t0 AS MATERIALIZED (SELECT id, 1.0::DOUBLE AS x FROM ids)"]
+    for k in range(1, terms + 1):
+        steps.append(f"t{k} AS MATERIALIZED (SELECT a AS id, sum(x) / {k} AS x FROM nb JOIN t{k - 1} ON id = b GROUP BY a)")
+    every = " UNION ALL ".join(f"SELECT id, x FROM t{k}" for k in range(terms + 1))
+    return f"WITH {CONSEC}, {', '.join(steps)} SELECT id, round(ln(sum(x)), 6) AS log_tsc FROM ({every}) GROUP BY id"
+
+
+@query(_exp_sql(90))
 def g_subgraph_centrality(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.total_subgraph_centrality(place_tree(spark, d), steps=12)
+    """The logarithm of exp(A) 1, whose series the SQL sums."""
+    return analytics.total_subgraph_centrality(consecutive_customers(spark, d)).select("id", F.round(F.log("tsc"), 6).alias("log_tsc"))
 
 
-# -- centrality on the tree of places: a vertex reaches its nation and region ------------------------------------------
-def _all_roots(g: Graph) -> DataFrame:
-    return g.vertices.select(F.col("id").alias("root"))
+# -- centrality from sampled roots on the graph of consecutive customers -----------------------------------------------
+SAMPLED = 12
 
 
-@query(f"WITH {TREE}, two AS (SELECT a.src AS root, b.dst AS id, b.src AS parent FROM edges a JOIN edges b ON b.src = a.dst) SELECT id AS root, id, 0.0::DOUBLE AS dist, NULL::BIGINT AS parent FROM ids UNION ALL SELECT src, dst, 1.0, src FROM edges UNION ALL SELECT root, id, 2.0, parent FROM two")
-def g_dijkstra_forest(spark: SparkSession, d: str) -> DataFrame:
-    g = place_tree(spark, d)
-    return centrality.dijkstra_forest(g, _all_roots(g)).select("root", "id", "dist", "parent")
+def _far_sql(rounds: int, weight: str, reverse: bool) -> str:
+    a, b = ("dst", "src") if reverse else ("src", "dst")
+    steps = [f"hops AS MATERIALIZED (SELECT {a} AS a, {b} AS b, min({weight})::DOUBLE AS w FROM edges GROUP BY 1, 2), f0 AS MATERIALIZED (SELECT id AS root, id, 0.0::DOUBLE AS dist FROM ids WHERE {sql_draw('id', 0)} < {SAMPLED}::DOUBLE / (SELECT count(*) FROM ids))"]
+    for k in range(1, rounds + 1):
+        steps.append(f"f{k} AS MATERIALIZED (SELECT root, id, min(dist) AS dist FROM (SELECT * FROM f{k - 1} UNION ALL SELECT root, b, dist + w FROM f{k - 1} JOIN hops ON a = id) GROUP BY 1, 2)")
+    return f"WITH {CONSEC}, {', '.join(steps)}, far AS (SELECT * FROM f{rounds})"
 
 
-_REACH = f"WITH {TREE}, reach AS (SELECT src AS x, dst AS y, 1.0::DOUBLE AS d FROM edges UNION ALL SELECT a.src, b.dst, 2.0 FROM edges a JOIN edges b ON b.src = a.dst)"
+def _roots(g: Graph) -> DataFrame:
+    return centrality.sample_roots(g, SAMPLED)
 
 
-@query(f"{_REACH} SELECT x AS id, count(*) AS n_roots, round(avg(d), 6) AS mean_dist FROM reach GROUP BY x")
+@query(_far_sql(20, "weight", False) + " SELECT t.root, t.id, t.dist, min(a) AS parent FROM far t LEFT JOIN (SELECT s.root, a, b, s.dist + w AS d FROM far s JOIN hops ON a = s.id) ON t.root = root_1 AND b = t.id AND abs(d - t.dist) < 1e-9 GROUP BY 1, 2, 3".replace("s.root, a", "s.root AS root_1, a"))
+def g_dijkstra_forest(spark: SparkSession, d: str) -> DataFrame:
+    g = consecutive_customers(spark, d)
+    return centrality.dijkstra_forest(g, _roots(g), "weight").select("root", "id", "dist", "parent")
+
+
+@query(_far_sql(12, "1", True) + " SELECT id, count(*) AS n_roots, round(avg(dist), 6) AS mean_dist FROM far WHERE root <> id GROUP BY id")
 def g_closeness(spark: SparkSession, d: str) -> DataFrame:
-    g = place_tree(spark, d)
-    return centrality.closeness(g, _all_roots(g)).select("id", "n_roots", F.round("mean_dist", 6).alias("mean_dist"))
+    g = consecutive_customers(spark, d)
+    return centrality.closeness(g, _roots(g)).select("id", "n_roots", F.round("mean_dist", 6).alias("mean_dist"))
 
 
-@query(f"{_REACH} SELECT y AS id, count(*) AS n_roots, round(avg(d), 6) AS mean_dist FROM reach GROUP BY y")
+@query(_far_sql(20, "weight", False) + " SELECT id, count(*) AS n_roots, round(avg(dist), 6) AS mean_dist FROM far WHERE root <> id GROUP BY id")
 def g_prestige(spark: SparkSession, d: str) -> DataFrame:
-    g = place_tree(spark, d)
-    return centrality.prestige(g, _all_roots(g)).select("id", "n_roots", F.round("mean_dist", 6).alias("mean_dist"))
+    g = consecutive_customers(spark, d)
+    return centrality.prestige(g, _roots(g), "weight").select("id", "n_roots", F.round("mean_dist", 6).alias("mean_dist"))
 
 
-@query(f"WITH {TREE}, mid AS (SELECT a.dst AS id, count(*)::DOUBLE AS n FROM edges a JOIN edges b ON b.src = a.dst GROUP BY 1) SELECT ids.id, coalesce(n, 0) AS betweenness FROM ids LEFT JOIN mid ON mid.id = ids.id")
+def _between_sql(hops: int) -> str:
+    steps = ["dag AS MATERIALIZED (SELECT s.root, a, b, t.dist AS l FROM far s JOIN hops ON a = s.id JOIN far t ON t.root = s.root AND t.id = b AND t.dist = s.dist + 1)", "p0 AS (SELECT root, id, 1.0::DOUBLE AS s FROM f0)"]
+    for k in range(1, hops + 1):
+        steps.append(f"p{k} AS MATERIALIZED (SELECT dag.root, b AS id, sum(s) AS s FROM dag JOIN p{k - 1} p ON p.root = dag.root AND p.id = a WHERE l = {k} GROUP BY 1, 2)")
+    steps.append(f"sigma AS MATERIALIZED ({' UNION ALL '.join(f'SELECT * FROM p{k}' for k in range(hops + 1))})")
+    steps.append("share AS MATERIALIZED (SELECT dag.root, a, b, l, x.s / y.s AS f FROM dag JOIN sigma x ON x.root = dag.root AND x.id = a JOIN sigma y ON y.root = dag.root AND y.id = b)")
+    steps.append(f"d{hops} AS (SELECT root, id, 0.0::DOUBLE AS d FROM p{hops})")
+    for k in range(hops - 1, -1, -1):
+        steps.append(f"d{k} AS MATERIALIZED (SELECT p.root, p.id, coalesce(sum(f * (1 + d)), 0) AS d FROM p{k} p LEFT JOIN (SELECT share.root, a, f, d FROM share JOIN d{k + 1} z ON z.root = share.root AND z.id = b) ON p.root = root_1 AND a = p.id GROUP BY 1, 2)".replace("SELECT share.root,", "SELECT share.root AS root_1,"))
+    every = " UNION ALL ".join(f"SELECT * FROM d{k}" for k in range(1, hops + 1))
+    return _far_sql(12, "1", False) + f", {', '.join(steps)} SELECT ids.id, round(coalesce(x, 0), 5) AS betweenness FROM ids LEFT JOIN (SELECT id AS i, sum(d) AS x FROM ({every}) GROUP BY 1) ON i = ids.id"
+
+
+@query(_between_sql(12))
 def g_betweenness(spark: SparkSession, d: str) -> DataFrame:
-    g = place_tree(spark, d)
-    return centrality.betweenness(g, _all_roots(g)).select("id", F.round("betweenness", 6).alias("betweenness"))
+    g = consecutive_customers(spark, d)
+    return centrality.betweenness(g, _roots(g)).select("id", F.round("betweenness", 5).alias("betweenness"))
 
 
 # -- sources, sinks, growth --------------------------------------------------------------------------------------------
@@ -450,18 +573,25 @@ def g_metis_lines(spark: SparkSession, d: str) -> DataFrame:
     return metis_lines(place_tree(spark, d))
 
 
-@query()
+_POWER = f"""WITH size AS (SELECT count(*) AS n FROM orders), ids AS MATERIALIZED (SELECT r AS id, n, {sql_draw('r', 0)} AS u, {sql_mixed('r', 0, 1)} % n AS b FROM size, range(n) t(r)),
+cum AS MATERIALIZED (SELECT d, sum(p) OVER (ORDER BY d) / sum(p) OVER () AS c FROM (SELECT d, pow(d::DOUBLE, -2.1) AS p FROM size, range(1, n) t(d))),
+drawn AS MATERIALIZED (SELECT id, n, b, d FROM ids ASOF JOIN cum ON u <= c), walk AS (SELECT id, n, b, unnest(range(1, d + 1)) AS k FROM drawn),
+edges AS MATERIALIZED (SELECT id AS src, CASE WHEN (b + k * ({LAST_STEP} % n)) % n = id THEN (id + 1) % n ELSE (b + k * ({LAST_STEP} % n)) % n END AS dst FROM walk)
+SELECT ids.id, coalesce(i, 0) AS in_degree, coalesce(o, 0) AS out_degree FROM ids LEFT JOIN (SELECT dst, count(*) AS i FROM edges GROUP BY 1) ON dst = id LEFT JOIN (SELECT src, count(*) AS o FROM edges GROUP BY 1) ON src = id"""
+
+
+@query(_POWER)
 def g_powerlaw(spark: SparkSession, d: str) -> DataFrame:
     """A synthetic graph with as many vertices as there are orders."""
     return powerlaw(spark, table(spark, d, "orders").count()).degrees()
 
 
-@query(_components_sql(TREE, 6, "SELECT id, component FROM final"))
+@query(components_sql(MATCH, ROUNDS, "SELECT id, component FROM final"))
 def g_incremental_components(spark: SparkSession, d: str) -> DataFrame:
     """Components kept up to date over two batches of edges."""
-    e = place_tree(spark, d).edges
-    first = merge_components(None, e.filter(F.col("dst") >= 3 * OFFSET))
-    return merge_components(written(first, "components"), e.filter(F.col("dst") < 3 * OFFSET))
+    e = match_graph(spark, d).edges
+    first = merge_components(None, e.filter("src < dst"))
+    return merge_components(written(first, "components"), e.filter("src > dst"))
 
 
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n_events, round(sum(value), 4) AS sum_value FROM events GROUP BY 1, 2")
