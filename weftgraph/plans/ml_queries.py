@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.algorithms import cluster, graphical, linalg, recommend, topics
-from weftgraph.algorithms.analytics import hashed, normalized_rows
+from weftgraph.algorithms.analytics import hashed, label_propagation, normalized_rows
 from weftgraph.algorithms.linalg import axb, matvec
+from weftgraph.functions.draws import mixed, sql_draw, sql_mixed
 from weftgraph.graph import Graph
 from weftgraph.operators.neighborhood import reservoir_one, vector_sum
-from weftgraph.plans.graph_queries import CONSEC, SEGMENTS, consecutive_customers, place_tree
+from weftgraph.plans.graph_queries import CONSEC, NEAR, SEGMENTS, TREE, consecutive_customers, place_tree
 from weftgraph.plans.tables import table
 from weftgraph.session import written
 
@@ -53,53 +54,208 @@ def m_rmse_of_item_means(spark: SparkSession, d: str) -> DataFrame:
     return recommend.rmse(r.join(means, "item")).select("role", "n", F.round("rmse", 6).alias("rmse"))
 
 
-def _scored(name: str, model: recommend.Model, r: DataFrame) -> DataFrame:
-    return recommend.rmse(recommend.predict(model, r, 0.5, 5.0)).select(F.lit(name).alias("model"), "role", "n", "rmse")
+def _scored(model: recommend.Model, r: DataFrame) -> DataFrame:
+    return recommend.rmse(recommend.predict(model, r, 0.5, 5.0)).select("role", "n", F.round("rmse", 5).alias("rmse"))
 
 
-def _model_query(name: str, fit) -> None:
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        r = written(clean_ratings(spark, d), "ratings")
-        return _scored(name, fit(r), r)
+_TRAIN = f"""{_RATINGS}, train AS MATERIALIZED (SELECT "user" AS u, item AS v, rating AS r FROM ratings_clean WHERE role = 'train'), mean AS (SELECT avg(r) AS m FROM train)"""
+GAMMA, LAMBDA, DECAY = 0.02, 0.02, 0.9
 
-    run.__name__ = f"m_{name}"
-    run.__doc__ = f"Errors of {name} on training and validation ratings."
-    QUERIES[run.__name__] = run
 
+def _factors_sql(side: str, width: int, scale: float, positive: bool, seed: int = 0) -> str:
+    column = {"user": "u", "item": "v"}[side]
+    return f"SELECT id, k, ({sql_draw('id', side, seed, ('k',))} - {0.0 if positive else 0.5}) * {scale} AS f FROM (SELECT DISTINCT {column} AS id FROM train), range({width}) t(k)"
 
-_model_query("als", lambda r: recommend.als(r, d=8, iterations=3, lam=0.05))
-_model_query("weighted_als", lambda r: recommend.als(r.withColumn("weight", 1 + hashed(F.col("user"), F.col("item"))), d=8, iterations=3, lam=0.05))
-_model_query("sparse_als", lambda r: recommend.als(r, d=8, iterations=2, lam=0.05, sparse="both", sparsity=0.5))
-_model_query("sgd", lambda r: recommend.sgd(r, d=8, epochs=5))
-_model_query("bias_sgd", lambda r: recommend.sgd(r, d=8, epochs=5, bias=True))
-_model_query("svdpp", lambda r: recommend.svdpp(r, d=8, epochs=3))
-_model_query("nmf", lambda r: recommend.nmf(r, d=8, iterations=4))
-_model_query("ccd", lambda r: recommend.ccd(r, d=3, iterations=1))
-_model_query("als_implicit", lambda r: recommend.als(recommend.implicit_ratings(r, 0.005, 2.5, 0.1), d=8, iterations=2, lam=0.05))
 
+def _score_sql(users: str, items: str, d: int, bias: bool) -> str:
+    """(u, v, role, rating, p): clipped predictions of all cleaned ratings, NULL where a side is unknown."""
+    extra = f"(SELECT m FROM mean) + sum(CASE WHEN x.k = {d} THEN x.f + y.f ELSE x.f * y.f END)" if bias else "sum(x.f * y.f)"
+    return f"""scored AS MATERIALIZED (SELECT c."user" AS u, c.item AS v, role, any_value(rating) AS rating, greatest(0.5, least(5.0, {extra})) AS p FROM ratings_clean c JOIN {users} x ON x.id = c."user" JOIN {items} y ON y.id = c.item AND y.k = x.k GROUP BY 1, 2, 3)"""
 
-@query()
+
+_RMSE = "SELECT role, count(*) AS n, round(sqrt(avg((rating - p) * (rating - p))), 5) AS rmse FROM scored WHERE rating IS NOT NULL GROUP BY role"
+
+
+def _descent_sql(d: int, epochs: int, bias: bool) -> str:
+    width, scale, positive = (d + 1, 0.5, False) if bias else (d, 0.5, True)
+    steps = [f"u0 AS MATERIALIZED ({_factors_sql('user', width, scale, positive)})", f"v0 AS MATERIALIZED ({_factors_sql('item', width, scale, positive)})"]
+    gamma = GAMMA
+    for e in range(epochs):
+        said = f"(SELECT m FROM mean) + sum(CASE WHEN x.k = {d} THEN x.f + y.f ELSE x.f * y.f END)" if bias else "sum(x.f * y.f)"
+        other = lambda o: f"CASE WHEN x.k = {d} THEN 1.0 ELSE {o}.f END" if bias else f"{o}.f"
+        steps.append(f"e{e} AS MATERIALIZED (SELECT t.u, t.v, any_value(r) - ({said}) AS e FROM train t JOIN u{e} x ON x.id = u JOIN v{e} y ON y.id = v AND y.k = x.k GROUP BY 1, 2)")
+        for side, mine, theirs in (("u", "x", "y"), ("v", "y", "x")):
+            steps.append(f"{side}{e + 1} AS MATERIALIZED (SELECT {mine}.id, x.k, any_value({mine}.f) + sum({gamma!r} * (e * ({other(theirs)}) - {LAMBDA} * {mine}.f)) / greatest(1.0, count(*) * {gamma!r} * 4) AS f FROM e{e} JOIN u{e} x ON x.id = u JOIN v{e} y ON y.id = v AND y.k = x.k GROUP BY 1, 2)")
+        gamma *= DECAY
+    return f"WITH {_TRAIN}, {', '.join(steps)}, {_score_sql(f'u{epochs}', f'v{epochs}', d, bias)} "
+
+
+@query(_descent_sql(20, 5, False) + _RMSE)
+def m_sgd(spark: SparkSession, d: str) -> DataFrame:
+    """Errors of gradient descent on training and validation ratings."""
+    r = written(clean_ratings(spark, d), "ratings")
+    return _scored(recommend.sgd(r, d=20, epochs=5), r)
+
+
+@query(_descent_sql(20, 5, True) + _RMSE)
+def m_bias_sgd(spark: SparkSession, d: str) -> DataFrame:
+    r = written(clean_ratings(spark, d), "ratings")
+    return _scored(recommend.sgd(r, d=20, epochs=5, bias=True), r)
+
+
+@query(_descent_sql(20, 3, True) + """SELECT c."user", c.item, round(p, 5) AS prediction FROM ratings_clean c LEFT JOIN scored s ON s.u = c."user" AND s.v = c.item AND s.role = c.role WHERE c.role = 'predict'""")
 def m_predictions(spark: SparkSession, d: str) -> DataFrame:
     """What bias-SGD predicts for the rows to be predicted."""
     r = written(clean_ratings(spark, d), "ratings")
-    return recommend.predict(recommend.sgd(r, d=8, epochs=3, bias=True), r, 0.5, 5.0).filter("role = 'predict'").select("user", "item", "prediction")
+    return recommend.predict(recommend.sgd(r, d=20, epochs=3, bias=True), r, 0.5, 5.0).filter("role = 'predict'").select("user", "item", F.round("prediction", 5).alias("prediction"))
+
+
+def _svdpp_sql(d: int, epochs: int) -> str:
+    steps = [f"u0 AS MATERIALIZED ({_factors_sql('user', d + 1, 0.2, False)})", f"v0 AS MATERIALIZED ({_factors_sql('item', d + 1, 0.2, False)})", f"y0 AS MATERIALIZED ({_factors_sql('item', d, 0.2, False, 1)})", "cu AS (SELECT u, count(*) AS n FROM train GROUP BY u)"]
+    gamma = GAMMA
+    whole = lambda e: f"w{e} AS MATERIALIZED (SELECT x.id, x.k, x.f + coalesce(s / sqrt(n), 0) AS f FROM u{e} x JOIN cu ON cu.u = x.id LEFT JOIN (SELECT t.u, k, sum(f) AS s FROM train t JOIN y{e} ON id = t.v GROUP BY 1, 2) q ON q.u = x.id AND q.k = x.k)"
+    for e in range(epochs):
+        steps.append(whole(e))
+        steps.append(f"e{e} AS MATERIALIZED (SELECT t.u, t.v, any_value(r) - ((SELECT m FROM mean) + sum(CASE WHEN x.k = {d} THEN x.f + y.f ELSE x.f * y.f END)) AS e FROM train t JOIN w{e} x ON x.id = u JOIN v{e} y ON y.id = v AND y.k = x.k GROUP BY 1, 2)")
+        move = lambda mine, theirs: f"sum({gamma!r} * (e * (CASE WHEN x.k = {d} THEN 1.0 ELSE {theirs}.f END) - {LAMBDA} * {mine}.f)) / greatest(1.0, count(*) * {gamma!r} * 4)"
+        steps.append(f"c{e} AS MATERIALIZED (SELECT x.id, x.k, {move('x', 'y')} AS c FROM e{e} JOIN w{e} x ON x.id = u JOIN v{e} y ON y.id = v AND y.k = x.k GROUP BY 1, 2)")
+        steps.append(f"v{e + 1} AS MATERIALIZED (SELECT y.id, x.k, any_value(y.f) + {move('y', 'x')} AS f FROM e{e} JOIN w{e} x ON x.id = u JOIN v{e} y ON y.id = v AND y.k = x.k GROUP BY 1, 2)")
+        steps.append(f"u{e + 1} AS MATERIALIZED (SELECT x.id, x.k, x.f + c AS f FROM u{e} x JOIN c{e} c ON c.id = x.id AND c.k = x.k)")
+        steps.append(f"y{e + 1} AS MATERIALIZED (SELECT y.id, y.k, any_value(y.f) + sum(c / sqrt(n)) / count(*) AS f FROM train t JOIN cu USING (u) JOIN c{e} c ON c.id = t.u JOIN y{e} y ON y.id = t.v AND y.k = c.k GROUP BY 1, 2)")
+        gamma *= DECAY
+    return f"WITH {_TRAIN}, {', '.join(steps)}, {whole(epochs)}, {_score_sql(f'w{epochs}', f'v{epochs}', d, True)} {_RMSE}"
+
+
+@query(_svdpp_sql(20, 3))
+def m_svdpp(spark: SparkSession, d: str) -> DataFrame:
+    r = written(clean_ratings(spark, d), "ratings")
+    return _scored(recommend.svdpp(r, d=20, epochs=3), r)
+
+
+def _nmf_sql(d: int, iterations: int) -> str:
+    steps = [f"u0 AS MATERIALIZED ({_factors_sql('user', d, 1.0, True)})", f"v0 AS MATERIALIZED ({_factors_sql('item', d, 1.0, True)})"]
+    for i in range(iterations):
+        for mine, theirs, a, b in (("u", "v", f"u{i}", f"v{i}"), ("v", "u", f"v{i}", f"u{i + 1}")):
+            steps.append(f"q{mine}{i} AS MATERIALIZED (SELECT t.u, t.v, any_value(r) / greatest(sum(x.f * y.f), 1e-12) AS q FROM train t JOIN {a} x ON x.id = t.{mine} JOIN {b} y ON y.id = t.{theirs} AND y.k = x.k GROUP BY 1, 2)")
+            steps.append(f"{mine}{i + 1} AS MATERIALIZED (SELECT x.id, x.k, greatest(any_value(x.f) * sum(y.f * q) / greatest(any_value(total), 1e-12), 1e-12) AS f FROM q{mine}{i} t JOIN {a} x ON x.id = t.{mine} JOIN {b} y ON y.id = t.{theirs} AND y.k = x.k JOIN (SELECT k, sum(f) AS total FROM {b} GROUP BY k) z ON z.k = x.k GROUP BY 1, 2)")
+    return f"WITH {_TRAIN}, {', '.join(steps)}, {_score_sql(f'u{iterations}', f'v{iterations}', d, False)} {_RMSE}"
+
+
+@query(_nmf_sql(20, 4))
+def m_nmf(spark: SparkSession, d: str) -> DataFrame:
+    r = written(clean_ratings(spark, d), "ratings")
+    return _scored(recommend.nmf(r, d=20, iterations=4), r)
+
+
+def _ccd_sql(d: int, iterations: int, lam: float = 0.01) -> str:
+    steps = ["e0 AS MATERIALIZED (SELECT u, v, r AS e FROM train)", *(f"u{k}_0 AS (SELECT DISTINCT u AS id, 0.0::DOUBLE AS x FROM train), v{k}_0 AS MATERIALIZED (SELECT id, f AS x FROM ({_factors_sql('item', d, 0.5, True)}) WHERE k = {k})" for k in range(d))]
+    n = 0
+    for i in range(iterations):
+        for k in range(d):
+            steps.append(f"t{n} AS MATERIALIZED (SELECT u, v, e + p.x * q.x AS t, q.x AS q FROM e{n} JOIN u{k}_{i} p ON p.id = u JOIN v{k}_{i} q ON q.id = v)")
+            steps.append(f"u{k}_{i + 1} AS MATERIALIZED (SELECT u AS id, sum(t * q) / ({lam} + sum(q * q)) AS x FROM t{n} GROUP BY u)")
+            steps.append(f"v{k}_{i + 1} AS MATERIALIZED (SELECT v AS id, sum(t * x) / ({lam} + sum(x * x)) AS x FROM t{n} JOIN u{k}_{i + 1} ON id = u GROUP BY v)")
+            steps.append(f"e{n + 1} AS MATERIALIZED (SELECT u, v, t - p.x * q.x AS e FROM t{n} JOIN u{k}_{i + 1} p ON p.id = u JOIN v{k}_{i + 1} q ON q.id = v)")
+            n += 1
+    both = " UNION ALL ".join(f"SELECT '{s}' AS s, id, {k} AS k, x AS f FROM {s}{k}_{iterations}" for s in "uv" for k in range(d))
+    return f"WITH {_TRAIN}, {', '.join(steps)}, every AS MATERIALIZED ({both}), {_score_sql('(SELECT id, k, f FROM every WHERE s = $$u$$)', '(SELECT id, k, f FROM every WHERE s = $$v$$)', d, False)} {_RMSE}"
+
+
+@query(_ccd_sql(5, 2))
+def m_ccd(spark: SparkSession, d: str) -> DataFrame:
+    r = written(clean_ratings(spark, d), "ratings")
+    return _scored(recommend.ccd(r, d=5, iterations=2), r)
+
+
+#: Training ratings, and validation ratings whose user and item the training knows.
+_KNOWN = f"""WITH {_TRAIN} SELECT role, count(*) AS n, TRUE AS better_than_item_means, TRUE AS falls FROM ratings_clean WHERE rating IS NOT NULL AND "user" IN (SELECT u FROM train) AND item IN (SELECT v FROM train) GROUP BY role"""
+
+
+def _checked_als(spark: SparkSession, d: str, fit) -> DataFrame:
+    """By role: ratings with a prediction, whether the error is below that of the items' means (a fifth more, on ratings not
+    trained on), and whether the training error falls from the first round to the last."""
+    r = written(clean_ratings(spark, d), "ratings")
+    means = recommend.training(r).groupBy("item").agg(F.avg("rating").alias("prediction"))
+    plain = recommend.rmse(r.join(means, "item")).select("role", F.col("rmse").alias("plain"))
+    first, last = fit(r, 1), fit(r, 4)
+    falls = recommend.als_objective(last, r) < recommend.als_objective(first, r)
+    scored = recommend.rmse(recommend.predict(last, r, 0.5, 5.0)).join(plain, "role")
+    return scored.select("role", "n", (F.col("rmse") < F.col("plain") * F.when(F.col("role") == "train", 1.0).otherwise(1.2)).alias("better_than_item_means"), F.lit(falls).alias("falls"))
+
+
+@query(_KNOWN)
+def m_als(spark: SparkSession, d: str) -> DataFrame:
+    return _checked_als(spark, d, lambda r, n: recommend.als(r, d=20, iterations=n, lam=0.1))
+
+
+@query(_KNOWN)
+def m_weighted_als(spark: SparkSession, d: str) -> DataFrame:
+    return _checked_als(spark, d, lambda r, n: recommend.als(r.withColumn("weight", 1 + hashed(F.col("user"), F.col("item"))), d=20, iterations=n, lam=0.1))
+
+
+@query(_KNOWN)
+def m_sparse_als(spark: SparkSession, d: str) -> DataFrame:
+    return _checked_als(spark, d, lambda r, n: recommend.als(r, d=20, iterations=n, lam=0.1, sparse="both", sparsity=0.5))
+
+
+@query(_KNOWN)
+def m_als_implicit(spark: SparkSession, d: str) -> DataFrame:
+    """With random unrated pairs of a middling value and little weight among the training rows."""
+    return _checked_als(spark, d, lambda r, n: recommend.als(recommend.implicit_ratings(r, 0.005, 2.5, 0.1), d=20, iterations=n, lam=0.1))
+
+
+def _drawn_pairs_sql(fraction: float, seed: int = 0) -> str:
+    return f"""items AS (SELECT item, row_number() OVER (ORDER BY item) - 1 AS slot FROM (SELECT DISTINCT item FROM ratings_clean)), n AS (SELECT count(*) AS n, greatest(1, round({fraction} * count(*)))::BIGINT AS draws FROM items),
+drawn AS (SELECT DISTINCT "user", {sql_mixed('"user"', ('k',), seed)} % n AS slot FROM (SELECT DISTINCT "user" FROM ratings_clean), n, range(1, draws + 1) t(k))
+SELECT "user", item, 2.5::DOUBLE AS rating, 0.1::DOUBLE AS weight FROM drawn JOIN items USING (slot) WHERE ("user", item) NOT IN (SELECT ("user", item) FROM ratings_clean)"""
+
+
+@query(f"WITH {_RATINGS}, {_drawn_pairs_sql(0.02)}")
+def m_implicit_ratings(spark: SparkSession, d: str) -> DataFrame:
+    """The random rows added for implicit ratings."""
+    r = written(clean_ratings(spark, d), "ratings")
+    return recommend.implicit_ratings(r, 0.02, 2.5, 0.1).filter("weight < 1").select("user", "item", "rating", "weight")
+
 
+def _power_sql(steps: int) -> str:
+    out = ["x0 AS (SELECT DISTINCT v AS id, 1.0::DOUBLE AS x FROM train)"]
+    for k in range(1, steps + 1):
+        out.append(f"y{k} AS MATERIALIZED (SELECT u AS id, sum(r * x) AS y FROM train JOIN x{k - 1} ON id = v GROUP BY u)")
+        out.append(f"x{k} AS MATERIALIZED (SELECT v AS id, sum(r * y) AS x FROM train JOIN y{k} ON id = u GROUP BY v)")
+    return f"WITH {_TRAIN}, {', '.join(out)}, top AS (SELECT round(sqrt(sqrt((SELECT sum(x * x) FROM x{steps}) / (SELECT sum(x * x) FROM x{steps - 1}))), 3) AS s) SELECT k::INT AS k, CASE WHEN k = 0 THEN s END AS largest, TRUE AS converged, TRUE AS falling FROM top, range(3) t(k)"
 
-@query()
+
+@query(_power_sql(25))
 def m_svd_ratings(spark: SparkSession, d: str) -> DataFrame:
+    """The largest singular value of the ratings, which a power iteration gives as well; residuals and order of the first three."""
     r = recommend.training(clean_ratings(spark, d)).select(F.col("user").alias("i"), F.col("item").alias("j"), F.col("rating").alias("v"))
     values, _, _, residuals = linalg.svd(r, 3)
-    return spark.createDataFrame([(k, float(s), float(e)) for k, (s, e) in enumerate(zip(values, residuals, strict=True))], "k int, value double, residual double")
+    rows = [(k, round(float(s), 3) if k == 0 else None, bool(e <= 1e-8 * s), bool(k == 0 or s <= values[k - 1])) for k, (s, e) in enumerate(zip(values, residuals, strict=True))]
+    return spark.createDataFrame(rows, "k int, largest double, converged boolean, falling boolean")
+
 
+def _probit_sql(iterations: int) -> str:
+    brand, discount = "regexp_extract(p_brand, '[0-9]+')::BIGINT", "1000 + round(l_discount * 100)::BIGINT"
+    base = f"rows_ AS MATERIALIZED (SELECT l_orderkey * 100 + l_linenumber AS row_id, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE -1.0 END AS label, unnest([{brand}, {discount}]) AS feature FROM lineitem JOIN part ON l_partkey = p_partkey), s0 AS (SELECT DISTINCT feature, 0.0::DOUBLE AS mu, 1.0::DOUBLE AS s2 FROM rows_)"
+    steps = []
+    for k in range(1, iterations + 1):
+        steps.append(f"r{k} AS MATERIALIZED (SELECT row_id, any_value(label) AS label, sum(s2) + 1 AS s, any_value(label) * sum(mu) / sqrt(sum(s2) + 1) AS t FROM rows_ JOIN s{k - 1} USING (feature) GROUP BY row_id)")
+        steps.append(f"e{k} AS (SELECT *, abs(t) / sqrt(2.0) AS x, 1 / (1 + 0.3275911 * abs(t) / sqrt(2.0)) AS q FROM r{k})")
+        steps.append(f"f{k} AS (SELECT *, q * (0.254829592 + q * (-0.284496736 + q * (1.421413741 + q * (-1.453152027 + q * 1.061405429)))) * exp(-x * x) AS erfc FROM e{k})")
+        steps.append(f"v{k} AS MATERIALIZED (SELECT row_id, label, s, t, exp(-t * t / 2) / sqrt(2 * pi()) / greatest(CASE WHEN t < 0 THEN erfc / 2 ELSE 1 - erfc / 2 END, 1e-12) AS v FROM f{k})")
+        steps.append(f"s{k} AS MATERIALIZED (SELECT feature, any_value(mu) + sum(label * s2 / sqrt(s) * v) AS mu, greatest(1e-9, any_value(s2) * product(greatest(1e-6, 1 - s2 / s * v * (v + t)))) AS s2 FROM rows_ JOIN v{k} USING (row_id) JOIN s{k - 1} USING (feature) GROUP BY feature)".replace("any_value(mu) + sum(label", f"any_value(mu) + sum(v{k}.label"))
+    return f"WITH {base}, {', '.join(steps)} SELECT feature, round(mu, 4) AS mu, round(s2, 6) AS sigma2 FROM s{iterations}"
 
-@query()
+
+@query(_probit_sql(1))
 def m_adpredictor(spark: SparkSession, d: str) -> DataFrame:
     """Whether a line item is returned, from its part's brand and its discount, as binary features."""
     li = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     row = F.col("l_orderkey") * 100 + F.col("l_linenumber")
     label = F.when(F.col("l_returnflag") == "R", 1).otherwise(-1)
-    features = F.array(F.xxhash64(F.lit("brand"), "p_brand"), F.xxhash64(F.lit("discount"), "l_discount"))
-    return recommend.adpredictor(li.select(row.alias("row_id"), label.alias("label"), F.explode(features).alias("feature")), iterations=2)
+    features = F.array(F.regexp_extract("p_brand", "[0-9]+", 0).cast("long"), 1000 + F.round(F.col("l_discount") * 100).cast("long"))
+    found = recommend.adpredictor(li.select(row.alias("row_id"), label.alias("label"), F.explode(features).alias("feature")), iterations=1)
+    return found.select("feature", F.round("mu", 4).alias("mu"), F.round("sigma2", 6).alias("sigma2"))
 
 
 # -- clustering --------------------------------------------------------------------------------------------------------
@@ -128,22 +284,57 @@ def m_vector_sum(spark: SparkSession, d: str) -> DataFrame:
     return vector_sum(points(spark, d), ["label"], "point").select("label", F.transform("point", lambda x: F.round(x, 4)).alias("total"))
 
 
-@query()
+def _means(points: DataFrame, labels: DataFrame) -> DataFrame:
+    """(cluster, c): the means of the clusters."""
+    placed = points.select("id", "point").join(labels.select("id", "cluster"), "id")
+    sums = vector_sum(placed, ["cluster"], "point").join(placed.groupBy("cluster").agg(F.count("*").alias("n")), "cluster")
+    return sums.select("cluster", F.transform("point", lambda x: x / F.col("n")).alias("c"))
+
+
+@query("SELECT count(*) AS n_points, 10 AS n_clusters, TRUE AS settled, TRUE AS cheaper FROM embeddings")
 def m_kmeans(spark: SparkSession, d: str) -> DataFrame:
-    return cluster.kmeans(points(spark, d), 10)[0].groupBy("cluster").agg(F.count("*").alias("n"), F.sum("dist").alias("cost"))
+    """Whether one more round, by another way of computing, changes no cluster's size, and whether the cost is below that of one
+    cluster."""
+    p = points(spark, d)
+    found = written(cluster.kmeans(p, 10)[0], "kmeans")
+    sizes = found.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("dist").alias("cost"))
+    again = cluster.lloyd_step(p, _means(p, found)).select("cluster", F.col("n").alias("m"))
+    one = cluster.kmeans(p, 1)[0].agg(F.sum("dist").alias("whole"))
+    both = sizes.join(again, "cluster", "full").agg(F.sum("n").alias("n_points"), F.count("*").cast("int").alias("n_clusters"), F.bool_and(F.col("n").eqNullSafe(F.col("m"))).alias("settled"), F.sum("cost").alias("cost"))
+    return both.crossJoin(F.broadcast(one)).select("n_points", "n_clusters", "settled", (F.col("cost") < F.col("whole")).alias("cheaper"))
 
 
-@query()
+@query("SELECT count(*) AS n_points, TRUE AS rewarded FROM embeddings")
 def m_kmeans_rewards(spark: SparkSession, d: str) -> DataFrame:
-    """Consecutive vectors reward each other for being together."""
+    """Consecutive vectors reward each other for being together: more of them are than without rewards."""
     p = points(spark, d)
-    rewards = p.select(F.col("id").alias("i"), (F.col("id") + 1).alias("j"), F.lit(1.0).alias("w"))
-    return cluster.kmeans_with_rewards(p, rewards, 10, 3).groupBy("cluster").agg(F.count("*").alias("n"))
+    links = p.select(F.col("id").alias("i"), (F.col("id") + 1).alias("j"), F.lit(1.0).alias("w"))
+    together = lambda x: links.join(x.toDF("i", "a"), "i").join(x.toDF("j", "b"), "j").filter("a = b").count()
+    found = written(cluster.kmeans_with_rewards(p, links, 10, 5), "rewards")
+    plain = written(cluster.kmeans(p, 10)[0].select("id", "cluster"), "plain")
+    return found.agg(F.countDistinct("id").alias("n_points")).withColumn("rewarded", F.lit(together(found) > together(plain)))
+
+
+def _cut(edges: DataFrame, labels: DataFrame) -> float:
+    """The weight between clusters as a share of all."""
+    placed = edges.join(labels.toDF("i", "a"), "i").join(labels.toDF("j", "b"), "j")
+    return placed.agg(F.sum(F.when(F.col("a") != F.col("b"), F.col("w")).otherwise(0.0)) / F.sum("w")).first()[0]
 
 
-@query()
+@query("SELECT count(*) AS n_points, 4 AS n_clusters, TRUE AS better_than_chance FROM embeddings")
 def m_spectral_clustering(spark: SparkSession, d: str) -> DataFrame:
-    return cluster.spectral_clustering(points(spark, d), 4, 2.0).groupBy("cluster").agg(F.count("*").alias("n"))
+    """Whether less of the similarity lies between the clusters than between hashed ones."""
+    p = points(spark, d)
+    found = written(cluster.spectral_clustering(p, 4, 2.0), "clusters")
+    near = written(cluster.similarity_graph(p, 2.0, 10), "near")
+    chance = found.select("id", F.pmod(mixed(F.col("id")), F.lit(4)).alias("cluster"))
+    return found.agg(F.countDistinct("id").alias("n_points"), F.countDistinct("cluster").cast("int").alias("n_clusters")).withColumn("better_than_chance", F.lit(_cut(near, found) < _cut(near, chance)))
+
+
+@query("WITH p AS MATERIALIZED (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), w AS MATERIALIZED (SELECT a.id AS i, b.id AS j, list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM p a JOIN p b ON a.id <> b.id), near AS (SELECT i, j FROM (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY d) AS place FROM w) WHERE place <= 5) SELECT DISTINCT least(i, j) AS i, greatest(i, j) AS j FROM near")
+def m_similarity_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of points of which at least one is among the five most similar to the other."""
+    return cluster.similarity_graph(points(spark, d), 2.0, 5).select("i", "j")
 
 
 @query("WITH p AS MATERIALIZED (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings) SELECT a.id AS i, b.id AS j FROM p a JOIN p b ON a.id < b.id WHERE exp(-round(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 6) / 2.0) >= 0.5")
@@ -152,9 +343,14 @@ def m_similarity_graph(spark: SparkSession, d: str) -> DataFrame:
     return cluster.similarity_graph(points(spark, d), 1.0, threshold=0.5).select("i", "j")
 
 
-@query()
+@query(f"WITH {CONSEC} SELECT count(*) AS n_vertices, 3 AS n_clusters, TRUE AS better_than_chance FROM ids")
 def m_partition_graph(spark: SparkSession, d: str) -> DataFrame:
-    return cluster.partition_graph(consecutive_customers(spark, d), 3).groupBy("cluster").agg(F.count("*").alias("n"))
+    """Whether fewer edges are cut than by hashed parts of the same number."""
+    g = consecutive_customers(spark, d)
+    found = written(cluster.partition_graph(g, 3), "parts")
+    edges = g.edges.select(F.col("src").alias("i"), F.col("dst").alias("j"), F.lit(1.0).alias("w"))
+    chance = found.select("id", F.pmod(mixed(F.col("id")), F.lit(3)).alias("cluster"))
+    return found.agg(F.countDistinct("id").alias("n_vertices"), F.countDistinct("cluster").cast("int").alias("n_clusters")).withColumn("better_than_chance", F.lit(_cut(edges, found) < _cut(edges, chance)))
 
 
 @query("SELECT vec_id AS i, list_transform(embedding::DOUBLE[], lambda x: round(x / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y))), 6)) AS vector FROM embeddings")
@@ -193,14 +389,28 @@ def _bag(spark: SparkSession, d: str) -> DataFrame:
     return written(topics.bag_of_words(words(spark, d).select("doc", F.xxhash64("w").alias("word"), "n")), "bag")
 
 
-@query()
+def _checked_topics(spark: SparkSession, d: str, fit) -> DataFrame:
+    """Documents with words, whether the topics of words and of documents hold all tokens, and whether the likelihood rises."""
+    bag = _bag(spark, d)
+    docs, words_, trend = fit(bag)
+    held = lambda x: x.agg(F.sum(F.aggregate("total", F.lit(0.0), lambda a, y: a + y))).first()[0]
+    tokens = bag.agg(F.sum("n")).first()[0]
+    conserved = abs(held(docs) - tokens) < 1e-6 * tokens and abs(held(words_) - tokens) < 1e-6 * tokens
+    top = topics.top_words(words_, 10).count()
+    return docs.agg(F.count("*").alias("n_documents")).withColumns({"conserved": F.lit(bool(conserved)), "rises": F.lit(bool(trend[-1] > trend[0])), "n_top_words": F.lit(top).cast("long")})
+
+
+_TOPICS = r"SELECT count(*) AS n_documents, TRUE AS conserved, TRUE AS rises, 50::BIGINT AS n_top_words FROM documents WHERE regexp_matches(text, '\p{L}')"
+
+
+@query(_TOPICS)
 def m_lda_cvb0(spark: SparkSession, d: str) -> DataFrame:
-    return topics.top_words(topics.lda_cvb0(_bag(spark, d), 5, 3)[1], 10)
+    return _checked_topics(spark, d, lambda bag: topics.lda_cvb0(bag, 5, 3))
 
 
-@query()
+@query(_TOPICS)
 def m_lda_gibbs(spark: SparkSession, d: str) -> DataFrame:
-    return topics.top_words(topics.lda_gibbs(_bag(spark, d), 5, 2)[1], 10)
+    return _checked_topics(spark, d, lambda bag: topics.lda_gibbs(bag, 5, 3))
 
 
 # -- linear systems ----------------------------------------------------------------------------------------------------
@@ -244,30 +454,92 @@ def m_axb(spark: SparkSession, d: str) -> DataFrame:
 
 
 # -- graphical models and draws ----------------------------------------------------------------------------------------
-@query()
-def m_potts_bp(spark: SparkSession, d: str) -> DataFrame:
-    """The segment of places from that of their customers."""
+def _potts_sql(iterations: int, damping: float, smoothing: float = 0.5) -> str:
+    """Belief propagation on the tree of places, one row for each message and state."""
+    states = ", ".join(f"({i}, '{x}')" for i, x in enumerate(SEGMENTS))
+    steps = [
+        f"raw AS (SELECT ids.id, s, CASE WHEN c_mktsegment IS NULL OR c_mktsegment = name THEN 0.0 ELSE -2.0 END::DOUBLE AS p FROM ids LEFT JOIN customer ON c_custkey = ids.id, (VALUES {states}) t(s, name))",
+        "prior AS MATERIALIZED (SELECT id, s, p - ln(sum(exp(p)) OVER (PARTITION BY id)) AS p FROM raw)",
+        "m0 AS MATERIALIZED (SELECT a, b, s, 0.0::DOUBLE AS m FROM near, range(5) t(s))",
+    ]
+    for k in range(1, iterations + 1):
+        steps.append(f"b{k} AS MATERIALIZED (SELECT id, p.s, any_value(p) + coalesce(sum(m), 0) AS b FROM prior p LEFT JOIN m{k - 1} m ON m.b = id AND m.s = p.s GROUP BY 1, 2)")
+        steps.append(f"c{k} AS (SELECT o.a, o.b, o.s, o.m, x.b - back.m AS c FROM m{k - 1} o JOIN m{k - 1} back ON back.a = o.b AND back.b = o.a AND back.s = o.s JOIN b{k} x ON x.id = o.a AND x.s = o.s)")
+        steps.append(f"o{k} AS (SELECT a, b, s, m, ln(exp(c) + exp(-{smoothing}) * (sum(exp(c)) OVER (PARTITION BY a, b) - exp(c))) AS o FROM c{k})")
+        steps.append(f"m{k} AS MATERIALIZED (SELECT a, b, s, {1 - damping} * (o - ln(sum(exp(o)) OVER (PARTITION BY a, b))) + {damping} * m AS m FROM o{k})")
+    steps.append(f"last AS (SELECT id, p.s, any_value(p) + coalesce(sum(m), 0) AS b FROM prior p LEFT JOIN m{iterations} m ON m.b = id AND m.s = p.s GROUP BY 1, 2)")
+    return f"WITH {TREE}, {NEAR}, {', '.join(steps)} SELECT id, s::INT AS state, round(b - ln(sum(exp(b)) OVER (PARTITION BY id)), 5) AS belief FROM last"
+
+
+def _place_priors(spark: SparkSession, d: str) -> tuple[Graph, DataFrame]:
     g = place_tree(spark, d)
     seen = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_mktsegment")
     prior = F.array(*(F.when(F.col("c_mktsegment").isNull(), 0.0).when(F.col("c_mktsegment") == s, 0.0).otherwise(-2.0) for s in SEGMENTS))
-    return graphical.potts_bp(g.vertices.join(seen, "id", "left").select("id", prior.alias("prior")), g.edges, smoothing=0.5, iterations=4).select("id", "map_state")
+    return g, g.vertices.join(seen, "id", "left").select("id", prior.alias("prior"))
 
 
-@query()
-def m_mplp_image(spark: SparkSession, d: str) -> DataFrame:
-    """A noisy picture with a pixel for each order, cleaned; the dual by round."""
-    n = int(table(spark, d, "orders").count() ** 0.5)
-    pixels, links = graphical.noisy_image(spark, n, n)
+@query(_potts_sql(4, 0.1))
+def m_potts_bp(spark: SparkSession, d: str) -> DataFrame:
+    """Beliefs about the segment of places from that of their customers, after four damped rounds."""
+    g, priors = _place_priors(spark, d)
+    found = graphical.potts_bp(priors, g.edges, smoothing=0.5, iterations=4)
+    return found.select("id", F.posexplode("belief").alias("state", "belief")).withColumn("belief", F.round("belief", 5))
+
+
+@query(_potts_sql(6, 0.0))
+def m_factor_graph_bp(spark: SparkSession, d: str) -> DataFrame:
+    """The same as a factor graph with a table for each link; six rounds are enough for the exact beliefs of this tree."""
+    g, priors = _place_priors(spark, d)
+    n = len(SEGMENTS)
+    table_ = F.array(*(F.lit(0.0 if i == j else -0.5) for i in range(n) for j in range(n)))
+    factors = g.edges.select(F.col("src").alias("fid"), F.array("src", "dst").alias("scope"), F.array(F.lit(n), F.lit(n)).alias("sizes"), table_.alias("logp"))
+    found = graphical.factor_graph_bp(priors, factors, iterations=6)
+    return found.select("id", F.posexplode("belief").alias("state", "belief")).withColumn("belief", F.round("belief", 5))
+
+
+def _picture(spark: SparkSession, pixels: int) -> tuple[int, DataFrame, DataFrame]:
+    """(pixels, unaries, pairs) of a noisy picture of at most so many pixels."""
+    n = int(pixels**0.5)
+    seen, links = graphical.noisy_image(spark, n, n)
     potts = F.array(*(F.lit(0.0 if i == j else -1.0) for i in range(3) for j in range(3)))
-    pairs = links.select(F.xxhash64("src", "dst").alias("eid"), F.col("src").alias("i"), F.col("dst").alias("j"), potts.alias("theta"))
-    _, duals = graphical.mplp(pixels.select("id", F.col("prior").alias("theta")), pairs, 3)
-    return spark.createDataFrame(list(enumerate(duals)), "round int, dual double")
+    pairs = links.select((F.col("src") * (n * n) + F.col("dst")).alias("eid"), F.col("src").alias("i"), F.col("dst").alias("j"), potts.alias("theta"))
+    return n * n, seen.select("id", F.col("prior").alias("theta")), pairs
+
+
+def _value(unaries: DataFrame, pairs: DataFrame, labels: DataFrame) -> float:
+    """What an assignment is worth."""
+    own = unaries.join(labels, "id").agg(F.sum(F.col("theta")[F.col("map_state").cast("int")])).first()[0]
+    ends = pairs.join(labels.toDF("i", "a"), "i").join(labels.toDF("j", "b"), "j")
+    return own + ends.agg(F.sum(F.col("theta")[(F.col("a") * 3 + F.col("b")).cast("int")])).first()[0]
 
 
-@query("SELECT 1::BIGINT AS n")
+@query("SELECT (floor(sqrt(count(*))) * floor(sqrt(count(*))))::BIGINT AS n_pixels, TRUE AS dual_falls, TRUE AS dual_bounds FROM orders")
+def m_mplp_image(spark: SparkSession, d: str) -> DataFrame:
+    """A noisy picture with a pixel for each order, cleaned: the dual never rises and stays above what the labels are worth."""
+    n, unaries, pairs = _picture(spark, table(spark, d, "orders").count())
+    labels, duals = graphical.mplp(unaries, pairs, 3)
+    labels = written(labels.select("id", "map_state"), "labels")
+    falls, bounds = all(b <= a + 1e-6 for a, b in zip(duals, duals[1:])), _value(unaries, pairs, labels) <= duals[-1] + 1e-6
+    return labels.agg(F.countDistinct("id").alias("n_pixels")).withColumns({"dual_falls": F.lit(falls), "dual_bounds": F.lit(bool(bounds))})
+
+
+@query("SELECT m AS method, (floor(sqrt(count(*))) * floor(sqrt(count(*))))::BIGINT AS n_pixels, TRUE AS better, TRUE AS dual_bounds FROM customer, (VALUES ('admm'), ('projected'), ('symmetric')) t(m) GROUP BY m")
+def m_dual_decomposition(spark: SparkSession, d: str) -> DataFrame:
+    """By method: the labels are worth at least those of the pixels alone, and every dual is above every primal value."""
+    n, unaries, pairs = _picture(spark, table(spark, d, "customer").count())
+    alone = unaries.select("id", (F.array_position("theta", F.array_max("theta")) - 1).alias("map_state"))
+    least, rows = _value(unaries, pairs, alone), []
+    for method in ("admm", "projected", "symmetric"):
+        labels, duals, primals = graphical.dual_decomposition(unaries, pairs, 6, method=method)
+        worth = _value(unaries, pairs, labels)
+        rows.append((method, labels.select("id").distinct().count(), bool(worth >= least - 1e-6 and abs(worth - max(primals)) < 1e-6), bool(min(duals) >= max(primals) - 1e-6)))
+    return spark.createDataFrame(rows, "method string, n_pixels long, better boolean, dual_bounds boolean")
+
+
+@query(f"SELECT c_custkey FROM customer WHERE c_acctbal > 0 ORDER BY -ln({sql_draw('c_custkey', 0)}) / c_acctbal, c_custkey LIMIT 1")
 def m_reservoir_one(spark: SparkSession, d: str) -> DataFrame:
     """A customer drawn in proportion to its balance."""
-    return reservoir_one(table(spark, d, "customer"), F.col("c_acctbal"), F.col("c_custkey")).agg(F.count("*").alias("n"))
+    return reservoir_one(table(spark, d, "customer"), F.col("c_acctbal"), F.col("c_custkey")).select("c_custkey")
 
 
 @query("SELECT l_returnflag, round(product(1 + l_discount / 1000), 6) AS growth FROM lineitem GROUP BY 1")
@@ -284,11 +556,17 @@ def m_labels(spark: SparkSession, d: str) -> DataFrame:
     return best.select("id", "b.label", (-F.col("b.m")).alias("n"))
 
 
-@query()
+def _spread_sql(rounds: int) -> str:
+    labels = ORACLES["m_labels"].removeprefix("WITH ").split(" SELECT id, label, n FROM ")
+    steps = [f"given AS MATERIALIZED (SELECT id, label FROM {labels[1]})", "l0 AS MATERIALIZED (SELECT id, label FROM (SELECT id FROM ids UNION SELECT id FROM given) LEFT JOIN given USING (id))"]
+    for k in range(1, rounds + 1):
+        steps.append(f"n{k} AS MATERIALIZED (SELECT a, label, count(*) AS n FROM near JOIN l{k - 1} ON id = b WHERE label IS NOT NULL GROUP BY 1, 2), l{k} AS MATERIALIZED (SELECT x.id, coalesce(z.label, x.label) AS label FROM l{k - 1} x LEFT JOIN (SELECT a, label FROM (SELECT a, label, row_number() OVER (PARTITION BY a ORDER BY n DESC, label) AS p FROM n{k}) WHERE p = 1) z ON z.a = x.id)")
+    return f"""WITH {_RATINGS}, {labels[0]}, edges AS MATERIALIZED (SELECT DISTINCT "user" AS src, item + {10**10} AS dst FROM ratings_clean), ids AS MATERIALIZED (SELECT src AS id FROM edges UNION SELECT dst FROM edges), {NEAR}, {', '.join(steps)} SELECT id, label FROM l{rounds} WHERE id < {10**10}"""
+
+
+@query(_spread_sql(3))
 def m_label_users(spark: SparkSession, d: str) -> DataFrame:
     """Labels of all users, spread over common ratings for three rounds."""
-    from weftgraph.algorithms.analytics import label_propagation
-
     r = clean_ratings(spark, d).select(F.col("user").alias("src"), (F.col("item") + 10**10).alias("dst")).distinct()
     g = Graph.build(r, m_labels(spark, d).select("id", "label"))
     return label_propagation(g, max_iterations=3).vertices.filter(F.col("id") < 10**10).select("id", "label")
