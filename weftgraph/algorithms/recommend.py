@@ -256,14 +256,15 @@ def implicit_ratings(ratings: DataFrame, fraction: float, value: float, weight:
 
 
 def adpredictor(clicks: DataFrame, iterations: int = 1, beta: float = 1.0, prior_variance: float = 1.0) -> DataFrame:
-    """(feature, mu, sigma2): probit regression on binary features by message passing; clicks: (row_id, label, feature), label +1 or -1.
+    """(feature, mu, sigma2): probit regression on binary features by message passing; clicks: (row_id, label, feature), label +1 or -1,
+    the same in all of a row (else +1 holds).
 
     Each iteration sums means and variances per row and then combines the rows' corrections per feature, all at once.
     """
-    clicks = written(clicks.select("row_id", F.col("label").cast("double").alias("label"), "feature").distinct(), "clicks")
+    clicks = written(clicks.groupBy("row_id", "feature").agg(F.max(F.col("label").cast("double")).alias("label")), "clicks")
     state = clicks.select("feature").distinct().withColumns({"mu": F.lit(0.0), "s2": F.lit(float(prior_variance))})
     for _ in range(iterations):
-        rows = clicks.join(state, "feature").groupBy("row_id").agg(F.first("label").alias("label"), F.sum("mu").alias("m"), (F.sum("s2") + beta * beta).alias("s"))
+        rows = clicks.join(state, "feature").groupBy("row_id").agg(F.max("label").alias("label"), F.sum("mu").alias("m"), (F.sum("s2") + beta * beta).alias("s"))
         t = F.col("label") * F.col("m") / F.sqrt("s")
         # v = density / distribution of the standard normal at t, w = v (v + t); fixed values: the published coefficients of
         # an approximation of erfc (error below 2e-7).
