@@ -164,7 +164,8 @@ def test_spectra(spark):
     lap = {(i, j): v for i, j, v in rows(analytics.laplacian(g))}
     assert lap[0, 1] == pytest.approx(0.5) and lap[3, 3] == 2.0
     hops, counts = analytics.approximate_diameter(graph(spark, [(i, i + 1) for i in range(5)]), exact=True)
-    assert counts[-1] == 21 and hops == 6
+    assert counts[-1] == 21 and hops == 5
+    assert analytics.approximate_diameter(graph(spark, [(0, 1), (1, 2)]), exact=True)[0] == 2
 
 
 def test_topology_labels_cascade(spark):

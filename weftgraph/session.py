@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if it was counted and is no larger than this many rows of a few longs (about 8 MB).
@@ -55,10 +55,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
-def written_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """``written`` and the number of rows, counted while they are written."""
+def written_counted(df: DataFrame, name: str, where: Column | None = None) -> tuple[DataFrame, int]:
+    """``written`` and the number of rows (that meet ``where``), counted while they are written."""
     seen = Observation()
-    back = written(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    back = written(df.observe(seen, F.count(F.lit(1) if where is None else F.when(where, 1)).alias("n")), name)
     return back, seen.get["n"]
 
 
