@@ -144,11 +144,12 @@ def similarity_graph(points: DataFrame, sigma: float, t: int | None = None, thre
     """(i, j, w), i < j: Gaussian similarities exp(-d^2 / (2 sigma^2)) of all pairs, or of those at least ``threshold``, or
     among the t largest of either end (ties with the t-th stay).
 
-    All pairs is what the operation means, so this is for at most some ten thousand points: blocks of points meet, each
-    pair of blocks in one task, and only what passes leaves it. For more, take the pairs of a nearest-neighbour search.
+    All pairs must be looked at, so this is for at most some hundred thousand points: blocks of points meet, each pair of
+    blocks in one task, and only what passes leaves it; with ``t``, of a block the t largest of each point. For more points,
+    take the pairs of a nearest-neighbour search.
     """
     points = written(points.filter("point IS NOT NULL").select("id", F.col("point").cast("array<double>").alias("point")), "points")
-    n, block = points.count(), 1_000
+    n, block = points.count(), 2_000
     blocks = max(1, -(-n // block))
     placed = points.withColumn("p", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
@@ -163,6 +164,12 @@ def similarity_graph(points: DataFrame, sigma: float, t: int | None = None, thre
         ok = (ids[a][:, None] < ids[b][None, :]) if x == y else np.ones_like(w, bool)
         if threshold is not None:
             ok &= w >= threshold
+        if t is not None:
+            # The t largest of a point are among the t largest of each block; on the diagonal a point isn't its own neighbour.
+            v_ = np.where(ids[a][:, None] == ids[b][None, :], -1.0, w)
+            rows_ = np.partition(v_, -t, axis=1)[:, -t][:, None] if v_.shape[1] > t else -1.0
+            cols_ = np.partition(v_, -t, axis=0)[-t][None, :] if v_.shape[0] > t else -1.0
+            ok &= (v_ >= rows_) | (v_ >= cols_)
         r, c = np.nonzero(ok)
         left, right = ids[a][r], ids[b][c]
         return pa.table({"i": np.minimum(left, right), "j": np.maximum(left, right), "w": w[r, c]})

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.algorithms.analytics import hashed
-from weftgraph.functions.batches import grouped_vector_sum, map_rows, matrix
+from weftgraph.functions.batches import arrays, grouped_vector_sum, map_rows, matrix
 from weftgraph.session import forget, written
 
 #: Assignments of one factor table at most.
@@ -83,29 +83,38 @@ def factor_graph_bp(variables: DataFrame, factors: DataFrame, iterations: int =
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for r in batch.to_pylist():
-                table = np.array(r["logp"]).reshape(r["sizes"])
-                down = {x["p"]: np.array(x["m"]) for x in r["down"]}
-                old = {x["p"]: np.array(x["old"]) for x in r["down"]}
-                n = len(r["scope"])
-                for p in range(n):
-                    t = table.copy()
-                    for q in range(n):
-                        if q != p:
-                            t = t + down[q].reshape([-1 if a == q else 1 for a in range(n)])
-                    axes = tuple(a for a in range(n) if a != p)
-                    top = t.max()
-                    m = t.max(axis=axes) if maximum else np.log(np.exp(t - top).sum(axis=axes)) + top
-                    m = m - m.max() - np.log(np.exp(m - m.max()).sum())
-                    out.append((r["fid"], r["scope"][p], p, ((1 - damping) * m + damping * old[p]).tolist()))
-            columns = list(zip(*out, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.list_(pa.float64()))], ["fid", "id", "p", "m"])
+            shapes = batch.column("shape").to_pylist()
+            for shape in sorted(set(shapes)):
+                # Factors of one shape are one array.
+                same = batch.filter(pa.array([x == shape for x in shapes]))
+                sizes = [int(x) for x in shape.split("x")]
+                n, k = same.num_rows, len(sizes)
+                table = matrix(same.column("logp")).reshape(n, *sizes)
+                spread = lambda x, p: x.reshape([n] + [sizes[p] if a == p else 1 for a in range(k)])  # noqa: E731, B023
+                flat = matrix(same.column("down"))
+                begins = np.concatenate(([0], np.cumsum(sizes)))
+                total = sum(begins[-1:])
+                down, old = ([flat[:, o + begins[p] : o + begins[p + 1]] for p in range(k)] for o in (0, total))
+                whole = table + sum(spread(d, p) for p, d in enumerate(down))
+                scope = matrix(same.column("scope")).astype(np.int64)
+                for p in range(k):
+                    t = whole - spread(down[p], p)
+                    axes = tuple(a + 1 for a in range(k) if a != p)
+                    top = t.max(axis=tuple(range(1, k + 1)), keepdims=True)
+                    m = t.max(axis=axes) if maximum else np.log(np.exp(t - top).sum(axis=axes)) + top.reshape(n, 1)
+                    m = m - m.max(axis=1, keepdims=True)
+                    m = m - np.log(np.exp(m).sum(axis=1, keepdims=True))
+                    mixed = (1 - damping) * m + damping * old[p]
+                    yield pa.RecordBatch.from_arrays([same.column("fid"), pa.array(scope[:, p]), pa.array(np.full(n, p, np.int32)), arrays(mixed)], ["fid", "id", "p", "m"])
 
     for _ in range(iterations):
         down = up.join(beliefs(up), "id").select("fid", "p", F.zip_with("b", "m", lambda a, c: a - c).alias("m"), F.col("m").alias("old"))
-        grouped = down.groupBy("fid").agg(F.collect_list(F.struct("p", "m", "old")).alias("down"))
-        new = written(factors.join(grouped, "fid").select("fid", "scope", "sizes", "logp", "down").mapInArrow(send, schema), "up")
+        # The messages of a factor's variables in the order of its scope, then the old ones: two flat runs in one array.
+        listed = F.array_sort(F.collect_list(F.struct("p", "m", "old")))
+        run = lambda c: F.flatten(F.transform("x", lambda s: s[c]))
+        grouped = down.groupBy("fid").agg(listed.alias("x")).select("fid", F.concat(run("m"), run("old")).alias("down"))
+        shape = F.concat_ws("x", F.transform("sizes", lambda x: x.cast("string")))
+        new = written(factors.join(grouped, "fid").select("fid", "scope", shape.alias("shape"), "logp", "down").mapInArrow(send, schema), "up")
         forget(up)
         up = new
     return beliefs(up).select("id", normalized_log(F.col("b")).alias("belief"))
@@ -210,6 +219,68 @@ def dual_decomposition(unaries: DataFrame, pairs: DataFrame, iterations: int = 2
     return best[1], duals, primals
 
 
+def _to_simplex(x: np.ndarray) -> np.ndarray:
+    """Rows moved to the nearest point of the probability simplex."""
+    ordered = -np.sort(-x, axis=1)
+    excess = (np.cumsum(ordered, axis=1) - 1) / np.arange(1, x.shape[1] + 1)
+    last = (ordered > excess).sum(axis=1) - 1
+    return np.maximum(x - excess[np.arange(len(x)), last][:, None], 0)
+
+
+def alternating_decomposition(unaries: DataFrame, pairs: DataFrame, iterations: int = 20, rho: float = 1.0, inner: int = 40) -> tuple[DataFrame, list[float], list[float]]:
+    """((id, map_state), dual values, primal values): dual decomposition by alternating directions with quadratic sub-problems.
+
+    Each pair maximises its value plus multipliers less rho / 2 times the squared distance of its marginals from the
+    variables' (``inner`` steps of projected gradients, accelerated); the variables take the mean of their copies; the
+    multipliers move by rho times the difference. Labels are the variables' likeliest states.
+    """
+    unaries = written(unaries.select("id", F.col("theta").cast("array<double>").alias("u")), "unaries")
+    degree = pairs.select(F.explode(F.array("i", "j")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    share = written(unaries.join(degree, "id", "left").select("id", "u", F.coalesce("n", F.lit(0)).cast("double").alias("n")), "share")
+    flat = lambda c, v: F.transform(c, lambda x: v)
+    begun = share.select("id", "u", "n", flat("u", F.lit(0.0)).alias("l"), flat("u", 1.0 / F.size("u")).alias("z"))
+    side = lambda s: begun.select(F.col("id").alias(s), *(F.col(c).alias(c + s) for c in "unlz"))
+    state = written(pairs.select("eid", "i", "j", F.col("theta").cast("array<double>").alias("t")).join(side("i"), "i").join(side("j"), "j"), "state")
+    alone = share.filter("n = 0").agg(F.coalesce(F.sum(F.array_max("u")), F.lit(0.0))).first()[0]
+    duals, primals, best = [], [], None
+
+    def solve(t: np.ndarray, ui: np.ndarray, ni: np.ndarray, li: np.ndarray, zi: np.ndarray, uj: np.ndarray, nj: np.ndarray, lj: np.ndarray, zj: np.ndarray) -> np.ndarray:
+        a, b = ui.shape[1], uj.shape[1]
+        w = t.reshape(-1, a, b) + (ui / ni[:, None] + li)[:, :, None] + (uj / nj[:, None] + lj)[:, None, :]
+        bound = w.reshape(len(w), -1).max(axis=1)
+        q = np.full(w.shape, 1 / (a * b))
+        y, k, rate = q, 1.0, 1 / (rho * (a + b))
+        for _ in range(inner):
+            slope = w - rho * ((y.sum(axis=2) - zi)[:, :, None] + (y.sum(axis=1) - zj)[:, None, :])
+            new = _to_simplex((y + rate * slope).reshape(len(w), -1)).reshape(w.shape)
+            after = (1 + (1 + 4 * k * k) ** 0.5) / 2
+            y, q, k = new + (k - 1) / after * (new - q), new, after
+        return np.concatenate((bound[:, None], q.sum(axis=2), q.sum(axis=1)), axis=1)
+
+    for _ in range(iterations):
+        solved = map_rows(state, ["eid", "i", "j"], ["t", "ui", "ni", "li", "zi", "uj", "nj", "lj", "zj"], solve, "s")
+        n = F.size("ui")
+        both = written(state.join(solved.select("eid", "s"), "eid").withColumns({"qi": F.slice("s", F.lit(2), n), "qj": F.slice("s", n + 2, F.size("uj"))}), "solved")
+        duals.append((both.agg(F.sum(F.col("s")[0])).first()[0] or 0.0) + alone)
+        copies = both.select(F.inline(F.array(F.struct(F.col("i").alias("id"), F.col("qi").alias("q")), F.struct(F.col("j").alias("id"), F.col("qj").alias("q")))))
+        sums = grouped_vector_sum(copies, "id", lambda b: matrix(b.column("q")))
+        means = written(share.join(sums, "id", "left").select("id", "u", F.when(F.col("total").isNull(), F.col("u")).otherwise(F.transform("total", lambda x: x / F.col("n"))).alias("z")), "means")
+        labels = written(means.select("id", (F.array_position("z", F.array_max("z")) - 1).cast("long").alias("map_state"), "u"), "labels")
+        ends = both.select("i", "j", "t", F.size("uj").alias("b")).join(labels.select(F.col("id").alias("i"), F.col("map_state").alias("x")), "i").join(labels.select(F.col("id").alias("j"), F.col("map_state").alias("y")), "j")
+        own = labels.agg(F.sum(F.col("u")[F.col("map_state").cast("int")])).first()[0] or 0.0
+        primals.append(own + (ends.agg(F.sum(F.col("t")[(F.col("x") * F.col("b") + F.col("y")).cast("int")])).first()[0] or 0.0))
+        if best is None or primals[-1] > best[0]:
+            best = (primals[-1], labels.select("id", "map_state"))
+        moved = lambda s: F.zip_with(F.col("l" + s), F.zip_with(F.col("q" + s), F.col("m" + s), lambda q, m: q - m), lambda v, d: v - rho * d).alias("l" + s)
+        near = lambda s: means.select(F.col("id").alias(s), F.col("z").alias("m" + s))
+        rows = both.join(near("i"), "i").join(near("j"), "j")
+        new = written(rows.select("eid", "i", "j", "t", "ui", "ni", moved("i"), F.col("mi").alias("zi"), "uj", "nj", moved("j"), F.col("mj").alias("zj")), "state")
+        forget(state)
+        forget(both)
+        state = new
+    return best[1], duals, primals
+
+
 def noisy_image(spark: SparkSession, rows: int, cols: int, states: int = 3, noise: float = 0.3, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """((id, truth, prior), (src, dst)): bands of states on a grid, each pixel seen wrong with probability ``noise``."""
     cells = spark.range(rows * cols).withColumn("truth", (F.pmod("id", F.lit(cols)) * states / cols).cast("int"))

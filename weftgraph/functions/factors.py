@@ -78,3 +78,63 @@ def laplace(scope: tuple[int, int], size: int, penalty: float) -> Table:
     """-penalty times the distance of the two states."""
     i = np.arange(size)
     return Table(scope, -penalty * np.abs(i[:, None] - i[None, :]).astype(float))
+
+
+@dataclass(frozen=True)
+class SparseTable:
+    """A factor of few assignments: ``logp`` by assignment (a tuple of states in the order of the scope); all others are
+    impossible (-inf)."""
+
+    scope: tuple[int, ...]
+    sizes: tuple[int, ...]
+    logp: dict[tuple[int, ...], float]
+
+    @staticmethod
+    def of(table: Table) -> SparseTable:
+        cells = {tuple(map(int, i)): float(table.logp[tuple(i)]) for i in np.argwhere(np.isfinite(table.logp))}
+        return SparseTable(table.scope, table.logp.shape, cells)
+
+    def dense(self) -> Table:
+        out = np.full(self.sizes, -np.inf)
+        for x, v in self.logp.items():
+            out[x] = v
+        return Table(self.scope, out)
+
+    def _with(self, other: SparseTable, sign: int) -> SparseTable:
+        """Joined on the common variables; dividing by an impossible assignment leaves it impossible."""
+        shared = [v for v in other.scope if v in self.scope]
+        fresh = [i for i, v in enumerate(other.scope) if v not in self.scope]
+        by: dict[tuple[int, ...], list[tuple[tuple[int, ...], float]]] = {}
+        for y, v in other.logp.items():
+            by.setdefault(tuple(y[other.scope.index(u)] for u in shared), []).append((tuple(y[i] for i in fresh), v))
+        own = [self.scope.index(u) for u in shared]
+        cells = {x + rest: a + sign * b for x, a in self.logp.items() for rest, b in by.get(tuple(x[i] for i in own), ())}
+        return SparseTable(self.scope + tuple(other.scope[i] for i in fresh), self.sizes + tuple(other.sizes[i] for i in fresh), cells)
+
+    def __mul__(self, other: SparseTable) -> SparseTable:
+        return self._with(other, 1)
+
+    def __truediv__(self, other: SparseTable) -> SparseTable:
+        return self._with(other, -1)
+
+    def normalize(self) -> SparseTable:
+        values = np.array(list(self.logp.values()))
+        total = values.max() + np.log(np.exp(values - values.max()).sum())
+        return SparseTable(self.scope, self.sizes, {x: v - float(total) for x, v in self.logp.items()})
+
+    def marginalize(self, keep: tuple[int, ...], maximum: bool = False) -> SparseTable:
+        places = [i for i, v in enumerate(self.scope) if v in keep]
+        out: dict[tuple[int, ...], float] = {}
+        for x, v in self.logp.items():
+            key = tuple(x[i] for i in places)
+            out[key] = v if key not in out else max(out[key], v) if maximum else float(np.logaddexp(out[key], v))
+        return SparseTable(tuple(self.scope[i] for i in places), tuple(self.sizes[i] for i in places), out)
+
+    def condition(self, values: dict[int, int]) -> SparseTable:
+        fixed = {self.scope.index(v): s for v, s in values.items() if v in self.scope}
+        places = [i for i in range(len(self.scope)) if i not in fixed]
+        cells = {tuple(x[i] for i in places): v for x, v in self.logp.items() if all(x[i] == s for i, s in fixed.items())}
+        return SparseTable(tuple(self.scope[i] for i in places), tuple(self.sizes[i] for i in places), cells)
+
+    def best(self) -> tuple[int, ...]:
+        return max(self.logp, key=lambda x: (self.logp[x], tuple(-s for s in x)))

@@ -1,4 +1,4 @@
-"""Sparse recovery and small numeric helpers for use inside batches."""
+"""Sparse recovery for use inside batches."""
 
 from __future__ import annotations
 
@@ -21,8 +21,3 @@ def cosamp(a: np.ndarray, y: np.ndarray, k: int, iterations: int = 10, tol: floa
         if np.linalg.norm(rest) < tol:
             break
     return x
-
-
-def log_sum_exp(x: np.ndarray, axis: int) -> np.ndarray:
-    m = x.max(axis=axis, keepdims=True)
-    return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis=axis))

@@ -523,14 +523,17 @@ def m_mplp_image(spark: SparkSession, d: str) -> DataFrame:
     return labels.agg(F.countDistinct("id").alias("n_pixels")).withColumns({"dual_falls": F.lit(falls), "dual_bounds": F.lit(bool(bounds))})
 
 
-@query("SELECT m AS method, (floor(sqrt(count(*))) * floor(sqrt(count(*))))::BIGINT AS n_pixels, TRUE AS better, TRUE AS dual_bounds FROM customer, (VALUES ('admm'), ('projected'), ('symmetric')) t(m) GROUP BY m")
+@query("SELECT m AS method, (floor(sqrt(count(*))) * floor(sqrt(count(*))))::BIGINT AS n_pixels, TRUE AS better, TRUE AS dual_bounds FROM customer, (VALUES ('ad3'), ('admm'), ('projected'), ('symmetric')) t(m) GROUP BY m")
 def m_dual_decomposition(spark: SparkSession, d: str) -> DataFrame:
     """By method: the labels are worth at least those of the pixels alone, and every dual is above every primal value."""
     n, unaries, pairs = _picture(spark, table(spark, d, "customer").count())
     alone = unaries.select("id", (F.array_position("theta", F.array_max("theta")) - 1).alias("map_state"))
     least, rows = _value(unaries, pairs, alone), []
-    for method in ("admm", "projected", "symmetric"):
-        labels, duals, primals = graphical.dual_decomposition(unaries, pairs, 6, method=method)
+    for method in ("ad3", "admm", "projected", "symmetric"):
+        if method == "ad3":
+            labels, duals, primals = graphical.alternating_decomposition(unaries, pairs, 6)
+        else:
+            labels, duals, primals = graphical.dual_decomposition(unaries, pairs, 6, method=method)
         worth = _value(unaries, pairs, labels)
         rows.append((method, labels.select("id").distinct().count(), bool(worth >= least - 1e-6 and abs(worth - max(primals)) < 1e-6), bool(min(duals) >= max(primals) - 1e-6)))
     return spark.createDataFrame(rows, "method string, n_pixels long, better boolean, dual_bounds boolean")

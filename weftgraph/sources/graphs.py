@@ -7,12 +7,16 @@ lines are skipped.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from weftgraph.functions.draws import draw, mixed
 from weftgraph.graph import Graph
@@ -79,27 +83,61 @@ def load_graph(spark: SparkSession, path: str, fmt: str, mode: str = "fail") ->
     return Graph.build(edges, alone)
 
 
-def read_bintsv4(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Pairs of little-endian 32-bit ids. A file is one record of the reader: files should stay below 1 GB."""
+def parse_with(spark: SparkSession, path: str, parser: Callable[[str, str], Iterable[tuple]], vertex_schema: str = "id long", edge_schema: str = "src long, dst long") -> Graph:
+    """A graph from lines that a function of the caller's parses: parser(file, line) gives any number of ``("v", {...})`` and
+    ``("e", {...})``, rows of the two schemas; it runs on the executors, a batch of lines at a time. An exception fails the load.
+    """
+    kinds = {"v": vertex_schema, "e": edge_schema}
+    schema = StructType([StructField(k, StructType.fromDDL(ddl)) for k, ddl in kinds.items()])
+    arrow = to_arrow_schema(schema)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [{"v": row if kind == "v" else None, "e": row if kind == "e" else None} for file, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for kind, row in parser(file, line)]
+            yield pa.RecordBatch.from_pylist(found, arrow)
+
+    rows = spark.read.text(path).select(F.input_file_name().alias("file"), "value").mapInArrow(parse, schema)
+    # Written once: vertices and edges are two readings of the same lines.
+    from weftgraph.session import written
+
+    rows = written(rows, "parsed")
+    return Graph.build(rows.filter("e IS NOT NULL").select("e.*"), rows.filter("v IS NOT NULL").select("v.*"))
+
+
+#: Bytes of a binary file that one row of the reader stands for; a multiple of a pair's eight.
+PIECE = 64 << 20
+
+
+def _files(path: str) -> tuple[FileSystem, str]:
+    """The file system of a path or URI (local, HDFS, object stores) and the path on it."""
+    return FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (LocalFileSystem(), os.path.abspath(path))
+
+
+def read_bintsv4(spark: SparkSession, path: str, piece: int = PIECE) -> tuple[DataFrame, DataFrame]:
+    """Pairs of little-endian 32-bit ids. Files of any size: tasks read pieces of them."""
+    fs, root = _files(path)
+    given = fs.get_file_info(root)
+    infos = [given] if given.type == FileType.File else [i for i in fs.get_file_info(FileSelector(root)) if i.type == FileType.File]
+    pieces = [(i.path, at, min(piece, i.size - at)) for i in infos if not os.path.basename(i.path).startswith(("_", ".")) for at in range(0, i.size, piece)]
+    listed = spark.createDataFrame(pieces, "file string, at long, n long")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs = _files(path)[0]
         for b in batches:
-            for content in b.column(0):
-                pairs = np.frombuffer(content.as_py(), "<u4").astype(np.int64).reshape(-1, 2)
+            for file, at, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                with fs.open_input_file(file) as f:
+                    f.seek(at)
+                    pairs = np.frombuffer(f.read(n), "<u4").astype(np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["src", "dst"])
 
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(decode, "src long, dst long")
+    rows = listed.repartition(max(1, len(pieces)), "file", "at").mapInArrow(decode, "src long, dst long")
     return rows.filter(F.col("dst") != ISOLATED), rows.filter(F.col("dst") == ISOLATED).select(F.col("src").alias("id"))
 
 
 def write_bintsv4(graph: Graph, path: str) -> None:
-    """Written as base files of a Parquet-free binary sink: one file for each partition, by the tasks themselves.
-
-    ``path`` must be a folder that every executor can reach as a file system path.
-    """
-    import os
-
-    os.makedirs(path, exist_ok=True)
+    """One file for each partition, written by the tasks to the file system that ``path`` names (a URI, or a folder that all
+    executors share). A file is written under another name and moved, so that a second attempt replaces the first."""
+    _files(path)[0].create_dir(_files(path)[1], recursive=True)
     ends = graph.edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     alone = graph.vertices.select("id").join(ends, "id", "left_anti").select(F.col("id").alias("src"), F.lit(ISOLATED).cast("long").alias("dst"))
 
@@ -107,16 +145,17 @@ def write_bintsv4(graph: Graph, path: str) -> None:
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        name = f"{path}/part-{context.partitionId():05d}.bin"
-        n = 0
-        with open(f"{name}.{context.taskAttemptId()}", "wb") as f:
+        fs, root = _files(path)
+        name = f"{root}/part-{context.partitionId():05d}.bin"
+        draft, n = f"{root}/_{context.partitionId():05d}.{context.taskAttemptId()}", 0
+        with fs.open_output_stream(draft) as f:
             for b in batches:
                 pairs = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], axis=1)
                 if len(pairs) and (pairs.min() < 0 or pairs.max() > ISOLATED):
                     raise ValueError("an id doesn't fit into 32 bits")
                 f.write(pairs.astype("<u4").tobytes())
                 n += len(pairs)
-        os.replace(f"{name}.{context.taskAttemptId()}", name)  # a second attempt replaces the first
+        fs.move(draft, name)
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
     graph.edges.select("src", "dst").unionByName(alone).mapInArrow(store, "n long").agg(F.sum("n")).collect()
@@ -357,8 +396,15 @@ def read_priors(spark: SparkSession, path: str, logs: bool = False) -> DataFrame
     return lines(spark, path).select(p[0].try_cast("long").alias("id"), F.transform(F.slice(p, F.lit(2), F.size(p) - 1), value).alias("prior"))
 
 
+#: A network of one text is parsed on the driver; larger ones come as lines of factors (``read_line_factors``).
+MARKOV_BYTES = 256 << 20
+
+
 def read_markov(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """((id, prior), (fid, scope, sizes, logp)) of a MARKOV network text: one small file, parsed on the driver."""
+    """((id, prior), (fid, scope, sizes, logp)) of a MARKOV network text: one file of at most MARKOV_BYTES, parsed on the driver."""
+    fs, root = _files(path)
+    if fs.get_file_info(root).size > MARKOV_BYTES:
+        raise ValueError("the network is too large to be parsed in one piece")
     text = " ".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())  # one model file
     words = iter(text.split())
     if next(words).upper() != "MARKOV":
@@ -374,3 +420,24 @@ def read_markov(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         rows.append((f, scope, [sizes[v] for v in scope], [float(np.log(max(c, 1e-300))) for c in cells]))
     variables = spark.createDataFrame([(i, [0.0] * k) for i, k in enumerate(sizes)], "id long, prior array<double>")
     return variables, spark.createDataFrame(rows, "fid long, scope array<long>, sizes array<int>, logp array<double>")
+
+
+def read_line_factors(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """((id, prior), (fid, scope, sizes, logp)) of lines ``v id size`` (a variable), ``d n id vars... sizes... values...`` (a factor
+    of n variables) and ``u id var size values...`` (of one). Values are taken to logarithms of base 10, as this format has it."""
+    p = F.split("line", r"\s+")
+    rows = lines(spark, path).select(p.alias("p"), p[0].alias("kind"))
+    number = lambda k: F.col("p")[k].try_cast("long")
+    cut = lambda first, n: F.slice("p", first, n)
+    variables = rows.filter("kind = 'v'").select(number(1).alias("id"), F.array_repeat(F.lit(0.0), number(2).cast("int")).alias("prior"))
+    n = F.when(F.col("kind") == "d", number(1)).otherwise(1).cast("int")
+    skip = F.when(F.col("kind") == "d", 4).otherwise(3)
+    factors = rows.filter("kind IN ('d', 'u')").select("p", F.when(F.col("kind") == "d", number(2)).otherwise(number(1)).alias("fid"), n.alias("n"), skip.alias("skip"))
+    value = lambda x: F.log10(F.greatest(x.cast("double"), F.lit(1e-300)))
+    left = F.greatest(F.size("p") - F.col("skip") - 2 * F.col("n") + 1, F.lit(0))
+    return variables, factors.select(
+        "fid",
+        F.transform(cut(F.col("skip"), F.col("n")), lambda x: x.cast("long")).alias("scope"),
+        F.transform(cut(F.col("skip") + F.col("n"), F.col("n")), lambda x: x.cast("int")).alias("sizes"),
+        F.transform(cut(F.col("skip") + 2 * F.col("n"), left), value).alias("logp"),
+    )
