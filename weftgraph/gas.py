@@ -188,19 +188,21 @@ def run(
     snapshot_path: str | None = None,
     begin_at: int = 0,
     catch: bool = False,
+    first: tuple[Column, int] | None = None,
 ) -> RunResult:
     """Run until no vertex is active, ``max_iterations``, ``timeout`` seconds, or ``stop(iteration, aggregates)``.
 
     messages: (id, msg), default one to every vertex. all_active: every vertex runs in every step, and nothing is
     scattered. engine: any of the known names; all run synchronously. A snapshot is written every ``snapshot_interval``
     steps; to go on from one, give its vertices, messages and iteration (``begin_at``). ``catch``: a failing step ends the
-    run with the states before it and status EXCEPTION, instead of raising.
+    run with the states before it and status EXCEPTION, instead of raising. ``first``: (order, n): only the n messages that
+    come first in an order of ``msg`` and ``id`` are delivered in a step; the others wait and are combined with later ones.
     """
     if engine not in ("synchronous", "sync", "asynchronous", "async", "warp"):
         raise ValueError(f"unknown engine: {engine}")
     if snapshot_interval and not snapshot_path:
         raise ValueError("a snapshot needs a path")
-    runner = _Runner(graph, program, messages, all_active, begin_at)
+    runner = _Runner(graph, program, messages, all_active, begin_at, first)
     began, seen = time.monotonic(), {k: [] for k in aggregators or {}}
     looked = dict.fromkeys(seen, began)
 
@@ -232,7 +234,7 @@ def run(
 
 
 class _Runner:
-    def __init__(self, graph: Graph, program: VertexProgram, messages: DataFrame | None, all_active: bool, begin_at: int) -> None:
+    def __init__(self, graph: Graph, program: VertexProgram, messages: DataFrame | None, all_active: bool, begin_at: int, first: tuple[Column, int] | None) -> None:
         self.program, self.all_active = program, all_active
         # Written once: every step scans the edges, and they may be the result of joins.
         self.edges = written(graph.edges, "edges")
@@ -240,6 +242,8 @@ class _Runner:
         self.states = _States(graph.vertices)
         inbox = messages if messages is not None else signals(graph.complete_set())
         self.inbox, self.n_inbox = (None, 0) if all_active else self._combined(inbox)
+        self.first, self.waiting = first, None
+        self._choose()
         self.iteration, self.updates = begin_at, 0
         self.changed: DataFrame | None = None
         self.n_changed = 0
@@ -252,6 +256,15 @@ class _Runner:
     def _combined(self, messages: DataFrame) -> tuple[DataFrame, int]:
         return written_counted(messages.groupBy("id").agg(self.program.combine(F.col("msg")).alias("msg")), "messages")
 
+    def _choose(self) -> None:
+        """Keep only the first messages of the inbox for the next step."""
+        if self.first is None or self.n_inbox <= self.first[1]:
+            self.waiting = None
+            return
+        whole = self.inbox
+        self.inbox, self.n_inbox = written_counted(whole.orderBy(self.first[0], "id").limit(self.first[1]), "messages")
+        self.waiting = whole.join(small_or_plain(self.inbox.select("id"), self.n_inbox), "id", "left_anti")
+
     def _literals(self, df: DataFrame) -> DataFrame:
         return df.withColumns(self.context | {"ctx_iteration": F.lit(self.iteration)})
 
@@ -306,9 +319,11 @@ class _Runner:
         rows = self._literals(rows)
         if program.scatter_if is not None:
             rows = rows.filter(program.scatter_if)
-        before = self.inbox
-        self.inbox, self.n_inbox = self._combined(rows.select(F.col("nbr").alias("id"), program.message.alias("msg")))
-        forget(before)
+        before, sent = self.inbox, rows.select(F.col("nbr").alias("id"), program.message.alias("msg"))
+        self.inbox, self.n_inbox = self._combined(sent if self.waiting is None else sent.unionByName(self.waiting))
+        if self.waiting is None:
+            forget(before)
+        self._choose()
         return self.n_inbox > 0
 
     def _write_edges(self) -> None:

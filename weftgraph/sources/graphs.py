@@ -309,10 +309,11 @@ def powerlaw(spark: SparkSession, n: int, alpha: float = 2.1, truncate: int | No
 
 # -- other inputs ------------------------------------------------------------------------------------------------------
 def read_ratings(spark: SparkSession, path: str, weighted: bool = False) -> DataFrame:
-    """(user, item, rating[, weight], role): ``user item [rating [weight]]``; the role from the file's suffix."""
+    """(user, item, rating[, weight], role): ``user item [rating [weight]]``; the role from the suffix of the file, or of the
+    folder that a job wrote its parts to."""
     rows = spark.read.text(path).select(F.trim("value").alias("line"), F.input_file_name().alias("file")).filter("line <> ''")
     p = F.split("line", r"[\s,]+")
-    name = F.regexp_replace("file", r"\.gz$", "")
+    name = F.regexp_replace("file", r"(/part-[^/]*|\.gz)$", "")
     role = F.when(name.endswith(".validate"), "validate").when(name.endswith(".predict"), "predict").otherwise("train")
     at = lambda k, kind: F.try_element_at(p, F.lit(k)).try_cast(kind)
     cols = {"user": at(1, "long"), "item": at(2, "long"), "rating": at(3, "double")}
@@ -403,7 +404,9 @@ MARKOV_BYTES = 256 << 20
 def read_markov(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """((id, prior), (fid, scope, sizes, logp)) of a MARKOV network text: one file of at most MARKOV_BYTES, parsed on the driver."""
     fs, root = _files(path)
-    if fs.get_file_info(root).size > MARKOV_BYTES:
+    given = fs.get_file_info(root)
+    size = given.size if given.type == FileType.File else sum(i.size or 0 for i in fs.get_file_info(FileSelector(root)))
+    if size > MARKOV_BYTES:
         raise ValueError("the network is too large to be parsed in one piece")
     text = " ".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())  # one model file
     words = iter(text.split())
