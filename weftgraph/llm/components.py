@@ -24,29 +24,32 @@ from weftgraph.session import BROADCAST_ROWS, forget, small_or_plain, written, w
 
 #: Levels in a row that add less than a hundredth of what was reached, after which the giant is contracted.
 TAIL = 4
-_HALF = 31
-_MASK = (1 << _HALF) - 1
+#: Bits of either half of an id in the Feistel rounds, if nothing smaller is known to do.
+HALF = 31
 #: Odd multipliers of the Feistel rounds.
 _KEYS = (1_640_531_527, 1_181_783_497, 2_034_852_277, 1_540_483_477)
 
 
-def _round(x: Column, key: int) -> Column:
-    return F.shiftright(x * F.lit(key).cast("long"), 17).bitwiseAND(F.lit(_MASK).cast("long"))
+def _round(x: Column, key: int, half: int) -> Column:
+    return F.shiftright(x * F.lit(key).cast("long"), max(1, min(17, 48 - half))).bitwiseAND(F.lit((1 << half) - 1).cast("long"))
 
 
-def mix(x: Column) -> Column:
-    """A fixed pseudo-random bijection of 62-bit ids (Feistel), so that ids that rise along a chain don't."""
-    left, right = F.shiftright(x, _HALF), x.bitwiseAND(F.lit(_MASK).cast("long"))
+def mix(x: Column, half: int = HALF) -> Column:
+    """A fixed pseudo-random bijection of ids below 2^(2 half) (Feistel), so that ids that rise along a chain don't.
+
+    Ids keep their width: what is shuffled is no wider than the keys are.
+    """
+    left, right = F.shiftright(x, half), x.bitwiseAND(F.lit((1 << half) - 1).cast("long"))
     for key in _KEYS:
-        left, right = right, left.bitwiseXOR(_round(right, key))
-    return F.shiftleft(left, _HALF).bitwiseOR(right)
+        left, right = right, left.bitwiseXOR(_round(right, key, half))
+    return F.shiftleft(left, half).bitwiseOR(right)
 
 
-def unmix(x: Column) -> Column:
-    left, right = F.shiftright(x, _HALF), x.bitwiseAND(F.lit(_MASK).cast("long"))
+def unmix(x: Column, half: int = HALF) -> Column:
+    left, right = F.shiftright(x, half), x.bitwiseAND(F.lit((1 << half) - 1).cast("long"))
     for key in reversed(_KEYS):
-        left, right = right.bitwiseXOR(_round(left, key)), left
-    return F.shiftleft(left, _HALF).bitwiseOR(right)
+        left, right = right.bitwiseXOR(_round(left, key, half)), left
+    return F.shiftleft(left, half).bitwiseOR(right)
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -88,7 +91,9 @@ def label_small(edges: DataFrame, size: int, low: Column) -> DataFrame | None:
         live = step.filter("p IS NOT NULL").select("v", "p")
         moved = split_join(edges, live.toDF("a", "pa"), "a", n, hot)
         moved = split_join(moved, live.toDF("b", "pb"), "b", n, hot).filter("pa <> pb")
-        after, size = written_counted(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        moved = moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
+        # A graph of hardly more edges than vertices has few repeats, not worth a shuffle.
+        after, size = written_counted(moved.distinct() if 2 * size > 3 * n else moved, "edges")
         if len(trail) > 1:
             forget(edges)
         edges = after
@@ -137,8 +142,9 @@ def components(pairs: DataFrame, a: str, b: str, tail: int = TAIL) -> DataFrame:
         rest = split_join(rest, mark.toDF("b", "rb"), "b", reached, hubs, "left")
         rest = rest.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).filter("a <> b").distinct()
     # Hubs get negative order numbers and so come before all other vertices.
-    number = lambda c: F.when(F.col(c).isin(hubs), -mix(F.col(c)) - 1).otherwise(mix(F.col(c))) if hubs else mix(F.col(c))
-    plain = unmix(F.when(F.col("v") < 0, -F.col("v") - 1).otherwise(F.col("v")))
+    half = max(4, -(-int(edges.agg(F.max("b")).first()[0]).bit_length() // 2))
+    number = lambda c: F.when(F.col(c).isin(hubs), -mix(F.col(c), half) - 1).otherwise(mix(F.col(c), half)) if hubs else mix(F.col(c), half)
+    plain = unmix(F.when(F.col("v") < 0, -F.col("v") - 1).otherwise(F.col("v")), half)
     rest, left = written_counted(rest.select(number("a").alias("a"), number("b").alias("b")), "rest")
     small = label_small(rest, left, F.least(plain, F.when(plain == root, F.lit(least)))) if left else None
     giant = visited.select("v", F.lit(least).alias("group"))
