@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.session import small_or_plain, written, written_counted
+from weftgraph.session import written, written_counted
 
 CAPACITY = 2_048
 SHARD_ITEMS = 20_000
@@ -135,11 +135,14 @@ def pack_documents(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     items = rests.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
     placed = written(_packed(items, shards, capacity, "s", "doc_id long, part long"), "packed")
     # A few containers a shard; so this stage is smaller than the first by the order of shard_items.
-    left, n_left = written_counted(placed.filter(F.col("held") * 2 <= capacity).select("bin", "held").distinct(), "left")
+    loose_items = placed.filter(F.col("held") * 2 <= capacity)
+    left, n_left = written_counted(loose_items.select("bin", "held").distinct(), "left")
     again = max(1, round(n_left / shard_items))
     loose = left.select(F.col("bin").alias("old"), F.col("held").alias("size"), F.pmod(F.xxhash64("bin"), F.lit(again)).cast("int").alias("shard"))
     merged = _packed(loose, again, capacity, "m", "old string").select(F.col("old").alias("bin"), F.col("bin").alias("new_bin"))
-    placed = placed.join(small_or_plain(written(merged, "merged"), n_left), "bin", "left").withColumn("bin", F.coalesce("new_bin", "bin"))
+    # Only the items of those containers meet the new names; both sides are small, and neither needs to be sent to every task.
+    moved = loose_items.join(written(merged, "merged").hint("shuffle_hash"), "bin").select("doc_id", "part", "size", F.col("new_bin").alias("bin"))
+    placed = placed.filter(F.col("held") * 2 > capacity).select("doc_id", "part", "size", "bin").unionByName(moved)
     parts = placed.select(F.col("bin").alias("bin_id"), "doc_id", "part", (F.col("part") * capacity).alias("first_token"), F.col("size").alias("n_tokens"))
     return full.unionByName(parts)
 
