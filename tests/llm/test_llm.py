@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from weftgraph import session
 from weftgraph.llm import components as components_module
-from weftgraph.llm import leaks
+from weftgraph.llm import leaks, sentences
 from weftgraph.llm.components import components, mix, unmix
 from weftgraph.llm.copies import canonical_record, mark_copies, split_buckets, terminals
 from weftgraph.llm.dictionaries import Lexicon, installed_lexicon
@@ -324,6 +324,11 @@ def test_lattice_takes_dictionary_words():
     assert len(own.lattice("ກກ", "lao")) == 2
 
 
+def test_every_terminal_is_looked_for():
+    assert all(c in sentences.COMMON_TERMINALS or sentences.OTHER_SCRIPTS.match(c) for c in sentences.TERMINALS) and len(sentences.TERMINALS) > 100
+    assert unit_starts("Բարև։ Ողջույն։ Այո") == [0, 6, 15]
+
+
 def test_dictionaries_are_read_whole():
     sizes = {script: text.count("\n") for script, text in installed_lexicon().lists.items()}
     assert sizes["thai"] > 20_000 and sizes["lao"] > 20_000 and sizes["cjk"] > 200_000

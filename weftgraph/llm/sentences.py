@@ -97,10 +97,13 @@ ASKING = frozenset("?!")
 FINAL_MARKS = frozenset(TERMINALS) - ASKING
 T = re.escape(TERMINALS)
 CJK = "ぁ-ヿ一-鿿々㐀-䶿"
-BLANK = re.compile(r"(?:[^\S\n]*\n){2,}")
+BLANK = re.compile(r"\n[^\S\n]*\n\s*")
 POLITE = "(?:" + "|".join(JA_POLITE) + ")(?:か|ね|よ)*"
-#: What may matter in a text without letters of spaceless scripts, and in any.
-SPACED_TOKEN = re.compile(rf"\.(?!\d)(?:\.+)?|[{T}|…()\[\]（）〔〕{{}}【】“”„«»「」『』\"]")
+#: Common terminals; the others only stand beside letters of the scripts between these bounds, and a class of them all is slow.
+COMMON_TERMINALS = "!?\u2024‼⁇⁈⁉‽।॥。！？｡．"
+OTHER_SCRIPTS = re.compile(r"[\u0530-\u08ff\u0d00-\u0dff\u0f00-\u1cff\u2c80-\u2dff\ua4d0-\uabff\ufe00-\ufe7f\U00010000-\U00011fff]|[\u2e00-\u2e7f]")
+#: What may matter in a text without letters of spaceless scripts, with common terminals alone and with all.
+SPACED_TOKEN, ANY_SPACED_TOKEN = (re.compile(rf"[.{re.escape(x)}|…()\[\]（）〔〕{{}}【】“”„«»「」『』\"]") for x in (COMMON_TERMINALS, TERMINALS))
 SPACELESS = re.compile(rf"[\u0e00-\u0eff{CJK}]")
 PAIRED = re.compile(r"[()\[\]（）〔〕{}【】“”„«»「」『』\"]")
 TOKEN = re.compile(
@@ -125,14 +128,12 @@ KNOWN = NEVER | BEFORE_NUMBER | EITHER
 MARKS = {'"', *PAIRS, *PAIRS.values(), *QUOTES, *QUOTES.values()}
 
 
-def _pairs(text: str, tokens: list[tuple[int, str]]) -> dict[int, int]:
+def _pairs(marks: Iterator[re.Match]) -> dict[int, int]:
     """Position of each bracket and quote that is opened to the position of its partner."""
     found: dict[int, int] = {}
     stack: list[tuple[str, int]] = []
-    for p, t in tokens:
-        c = t[0]
-        if c not in MARKS:
-            continue
+    for m in marks:
+        c, p = m[0], m.start()
         if stack and any(c == x for x, _ in stack):
             while stack:
                 x, q = stack.pop()
@@ -155,9 +156,9 @@ def _southeast(c: str) -> bool:
 class _Block:
     def __init__(self, text: str, start: int, end: int, lexicon: Lexicon) -> None:
         self.text, self.end, self.lexicon = text, end, lexicon
-        token = TOKEN if SPACELESS.search(text, start, end) else SPACED_TOKEN
-        self.tokens = [(m.start(), m[0]) for m in token.finditer(text, start, end)]
-        self.pairs = _pairs(text, self.tokens) if PAIRED.search(text, start, end) else {}
+        token = TOKEN if SPACELESS.search(text, start, end) else ANY_SPACED_TOKEN if OTHER_SCRIPTS.search(text, start, end) else SPACED_TOKEN
+        self.tokens = token.finditer(text, start, end)
+        self.pairs = _pairs(PAIRED.finditer(text, start, end))
         self.caseless = not CAPITAL.search(text, start, end) and bool(SMALL.search(text, start, end))
 
     def skip(self, p: int) -> int:
@@ -263,20 +264,25 @@ class _Block:
         text, end, pairs, caseless = self.text, self.end, self.pairs, self.caseless
         start = self.skip(start)
         skip_to = start
-        for p, t in self.tokens:
+        for m in self.tokens:
+            p = m.start()
             if p < skip_to:
                 continue
-            c = t[0]
+            c = text[p]
             cut = -1
             if c == ".":
-                if len(t) > 1:
+                if text.startswith(".", p + 1, end):
+                    skip_to = p + 1
+                    while skip_to < end and text[skip_to] == ".":
+                        skip_to += 1
                     continue
                 if p + 2 < end and text[p + 1] in " \n":
-                    # The plain cases: a title; and a word that is no abbreviation, with a capital after the space.
-                    low = text[text.rfind(" ", start, p) + 1 or start : p].lower()
-                    if low in NEVER:
+                    # The plain cases: a title; a small letter alone; and a word that is no abbreviation, before a capital.
+                    raw, n = text[text.rfind(" ", start, p) + 1 or start : p], text[p + 2]
+                    low = raw.lower()
+                    if low in NEVER or (low in BEFORE_NUMBER and n.isdigit()) or (len(raw) == 1 and "a" <= raw <= "z"):
                         continue
-                    if low not in KNOWN and len(low) > 2 and low.isalpha() and low[-1] < "ʰ" and (text[p + 2].isupper() or caseless and text[p + 2].isalnum()):
+                    if low not in KNOWN and len(low) > 2 and low.isalpha() and low[-1] < "ʰ" and (n.isupper() or caseless and n.isalnum()):
                         out.append(start)
                         start = skip_to = p + 2
                         continue
@@ -324,10 +330,10 @@ class _Block:
                 if p > start and DEVANAGARI.match(text[self.before(p)]):
                     cut = p + 1
             elif c.isspace():
-                if self.gap(start, p, p + len(t)):
-                    cut = p + len(t)
-            elif c >= "ぁ" and c not in MARKS and self.joint(start, p + len(t)):
-                cut = p + len(t)
+                if self.gap(start, p, m.end()):
+                    cut = m.end()
+            elif c >= "ぁ" and c not in MARKS and self.joint(start, m.end()):
+                cut = m.end()
             if cut >= 0:
                 while cut < end and text[cut] in CLOSERS and cut not in pairs:
                     cut += 1
@@ -447,6 +453,8 @@ def unit_starts(text: str, lexicon: Lexicon | None = None) -> list[int]:
     while p < n:
         m = BLANK.search(text, p)
         end = m.start() if m else n
+        while m and end > p and text[end - 1].isspace():
+            end -= 1
         at = SPACE.match(text, p).end()
         while at < end:
             m2 = NOTE.match(text, at, end) or AGENDA.match(text, at, end)
