@@ -251,7 +251,7 @@ def neighbour_pairs(near: DataFrame) -> DataFrame:
     return near.select(F.least("vid", "other").alias("vid_a"), F.greatest("vid", "other").alias("vid_b")).distinct()
 
 
-def exact_nearest(df: DataFrame, queries: Column, vid: str, vector: str, dim: int, k: int = 5, block: int = 4_096) -> DataFrame:
+def exact_nearest(df: DataFrame, queries: Column, vid: str, vector: str, dim: int, k: int = 5, block: int = 2_048) -> DataFrame:
     """(vid, other, sim) for the usable vectors that meet ``queries``, by comparing each with every vector: the measure of recall.
 
     The queries are worked off in blocks of ``block``, one scan of the table for each; a scan sends k rows a task and query.
@@ -270,13 +270,19 @@ def exact_nearest(df: DataFrame, queries: Column, vid: str, vector: str, dim: in
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, q = sent.value
-            for b in batches:
-                if b.num_rows:
+            best, names = np.full((len(ids), k), -np.inf), np.full((len(ids), k), -1)
+            for whole in batches:
+                for a in range(0, whole.num_rows, 1_024):
+                    b = whole.slice(a, 1_024)
                     data = b.column(0).to_numpy()
                     sims = q @ unit(_vectors(b.column(1), dim)).T
                     sims[ids[:, None] == data[None, :]] = -np.inf
-                    r, other, sim = _best(sims, data, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(other), pa.array(sim)], ["vid", "other", "sim"])
+                    sims = np.concatenate((best, sims), axis=1)
+                    every = np.concatenate((names, np.broadcast_to(data, (len(ids), len(data)))), axis=1)
+                    top = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+                    best, names = np.take_along_axis(sims, top, axis=1), np.take_along_axis(every, top, axis=1)
+            r, c = np.nonzero(best > -2)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(names[r, c]), pa.array(best[r, c])], ["vid", "other", "sim"])
 
         found = found.unionByName(rows.mapInArrow(search, "vid long, other long, sim double"))
     place = F.row_number().over(Window.partitionBy("vid").orderBy(F.desc("sim"), "other"))
