@@ -13,7 +13,7 @@ from weftgraph.functions.draws import draw
 from weftgraph.gas import RunResult, VertexProgram, run, signals
 from weftgraph.graph import Dir, Graph
 from weftgraph.operators.heavy import heavy_keys, split_join
-from weftgraph.session import BROADCAST_ROWS, forget, written, written_counted
+from weftgraph.session import BROADCAST_ROWS, forget, small_or_plain, written, written_counted
 
 
 #: A reproducible uniform number in (0, 1) from a key and seeds.
@@ -143,11 +143,10 @@ def kcore(graph: Graph, k: int) -> DataFrame:
     edges = written(graph.edges.select("src", "dst"), "core")
     while True:
         degree = edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").count()
-        weak = written(degree.filter(F.col("count") < k).select("id"), "weak")
-        n = weak.count()
+        weak, n = written_counted(degree.filter(F.col("count") < k).select("id"), "weak")
         if not n:
             return edges
-        side = F.broadcast(weak) if n <= 250_000 else weak
+        side = small_or_plain(weak, n)
         left = edges.join(side, F.col("src") == F.col("id"), "left_anti").join(side, F.col("dst") == F.col("id"), "left_anti")
         new = written(left, "core")
         forget(edges)

@@ -115,7 +115,7 @@ def als_objective(model: Model, ratings: DataFrame) -> float:
 
 
 # -- gradient methods --------------------------------------------------------------------------------------------------
-def _step(train: DataFrame, users: DataFrame, items: DataFrame, mean: float, bias: bool, gamma: float, lam: float, extra: Callable | None = None) -> tuple[DataFrame, DataFrame]:
+def _step(train: DataFrame, users: DataFrame, items: DataFrame, mean: float, bias: bool, gamma: float, lam: float, most: float = 4.0) -> tuple[DataFrame, DataFrame]:
     rows = written(train.join(users.toDF("user", "uf"), "user").join(items.toDF("item", "vf"), "item").select(F.col("user").cast("long").alias("u"), F.col("item").cast("long").alias("v"), F.col("rating").cast("double").alias("r"), "uf", "vf"), "rows")
 
     def grads(side: int) -> Callable[[pa.RecordBatch], np.ndarray]:
@@ -134,10 +134,10 @@ def _step(train: DataFrame, users: DataFrame, items: DataFrame, mean: float, bia
         return features
 
     def moved(old: DataFrame, total: DataFrame) -> DataFrame:
-        # Many ratings of one item would add up to a step far too long: a step is limited to that of 1 / gamma ratings.
+        # Many ratings of one item would add up to a step far too long: it is limited to that of 1 / (most * gamma) ratings.
         def add(f: np.ndarray, t: np.ndarray) -> np.ndarray:
             n = t[:, -1:]
-            return f + t[:, :-1] / np.maximum(1.0, n * gamma * 4)
+            return f + t[:, :-1] / np.maximum(1.0, n * gamma * most)
 
         both = old.join(total, "id", "left")
         hit, miss = both.filter("total IS NOT NULL"), both.filter("total IS NULL").select("id", "f")
@@ -148,15 +148,16 @@ def _step(train: DataFrame, users: DataFrame, items: DataFrame, mean: float, bia
     return new_users, new_items
 
 
-def sgd(ratings: DataFrame, d: int = D, epochs: int = 10, gamma: float = 0.02, lam: float = 0.02, decay: float = 0.9, bias: bool = False, seed: int = 0) -> Model:
+def sgd(ratings: DataFrame, d: int = D, epochs: int = 10, gamma: float = 0.02, lam: float = 0.02, decay: float = 0.9, bias: bool = False, seed: int = 0, most: float = 4.0) -> Model:
     """Gradient descent on squared errors with ridge lam; gamma times ``decay`` after each epoch. ``bias``: mean + user and
-    item biases as well. The steps of one epoch are taken together (synchronously)."""
+    item biases as well. The steps of one epoch are taken together (synchronously); as the steps of n ratings would overshoot,
+    their sum is divided by n * gamma * ``most`` where that is above 1 (0: never)."""
     train = written(training(ratings).select("user", "item", "rating"), "train")
     mean = float(train.agg(F.avg("rating")).first()[0] or 0.0) if bias else 0.0
     width = d + 1 if bias else d
     users, items = start_factors(train, "user", width, seed, 0.5, not bias), start_factors(train, "item", width, seed, 0.5, not bias)
     for _ in range(epochs):
-        users, items = _step(train, users, items, mean, bias, gamma, lam)
+        users, items = _step(train, users, items, mean, bias, gamma, lam, most)
         gamma *= decay
     return Model(users, items, mean, "bias" if bias else "dot")
 
