@@ -219,6 +219,10 @@ def directed_triangle_counts(graph: Graph) -> DataFrame:
 
 
 # -- colouring ---------------------------------------------------------------------------------------------------------
+#: Rounds of colouring in one job; more than are needed change nothing.
+COLOR_ROUNDS = 2
+
+
 def color(graph: Graph, order: str = "hash", seed: int = 0, max_rounds: int = 10_000) -> Graph:
     """A proper colouring in column ``color`` (0, 1, ...), by rounds of independent sets.
 
@@ -231,11 +235,11 @@ def color(graph: Graph, order: str = "hash", seed: int = 0, max_rounds: int = 10
     degree = both.groupBy("a").agg(F.count("*").alias("deg")) if order != "degree" else graph.degrees().select(F.col("id").alias("a"), F.col("out_degree").alias("deg"))
     first = F.lit(0) if order == "hash" else F.coalesce("deg", F.lit(0))
     state = written(graph.vertices.select("id").join(degree, F.col("id") == F.col("a"), "left").select("id", first.cast("double").alias("p"), hashed(F.col("id"), seed).alias("h"), F.lit(None).cast("int").alias("color")), "colors")
-    for _ in range(max_rounds):
-        if state.filter("color IS NULL").isEmpty():
-            break
-        around = both.join(state.filter("color IS NULL").select(F.col("id").alias("a"), F.struct("p", "h", F.col("id").alias("i")).alias("mine")), "a").join(state.select(F.col("id").alias("b"), F.struct("p", "h", F.col("id").alias("i")).alias("theirs"), F.col("color").alias("nc")), "b")
-        seen = around.groupBy("a").agg(
+    rank = F.struct("p", "h", F.col("id").alias("i"))
+
+    def round_(state: DataFrame) -> DataFrame:
+        mine, theirs = state.filter("color IS NULL").select(F.col("id").alias("a"), rank.alias("mine")), state.select(F.col("id").alias("b"), rank.alias("theirs"), F.col("color").alias("nc"))
+        seen = both.join(mine, "a").join(theirs, "b").groupBy("a").agg(
             F.max(F.when(F.col("nc").isNull() & (F.col("theirs") > F.col("mine")), 1).otherwise(0)).alias("later"),
             F.collect_set("nc").alias("used"),
         )
@@ -244,9 +248,17 @@ def color(graph: Graph, order: str = "hash", seed: int = 0, max_rounds: int = 10
         joined = state.join(seen, F.col("id") == F.col("a"), "left")
         chosen = F.when(F.col("color").isNotNull(), F.col("color")).when(F.col("a").isNull(), F.lit(0)).when(F.col("later") == 0, free)
         priority = F.col("p") if order != "saturation" else F.coalesce(F.size("used").cast("double"), F.col("p")) * 1.0
-        new = written(joined.select("id", priority.alias("p"), "h", chosen.cast("int").alias("color")), "colors")
+        return joined.select("id", priority.alias("p"), "h", chosen.cast("int").alias("color"))
+
+    for k in range(0, max_rounds, COLOR_ROUNDS):
+        new = state
+        for _ in range(min(COLOR_ROUNDS, max_rounds - k)):
+            new = round_(new)
+        new, left = written_counted(new, "colors", F.col("color").isNull())
         forget(state)
         state = new
+        if not left:
+            break
     else:
         raise RuntimeError(f"vertices without a colour after {max_rounds} rounds")
     return Graph(graph.vertices.drop("color").join(state.select("id", "color"), "id"), graph.edges)

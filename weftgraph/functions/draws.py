@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 PRIME = 2_147_483_647
 #: Primitive roots of the prime.
 STEP, TWIST = 48_271, 16_807
+#: Added at the start, so that 0 isn't a fixed point.
+BEGIN = 987_654_321
 
 
 def _seed(x: object) -> int:
@@ -22,7 +24,7 @@ def _seed(x: object) -> int:
 def mixed(c: Column, *more: object) -> Column:
     """A number in [0, PRIME) from a long and seeds (numbers, texts or long columns)."""
     p = F.lit(PRIME).cast("long")
-    x = F.pmod(F.pmod(c.cast("long"), p) * STEP + F.pmod(F.floor(c.cast("long") / p).cast("long"), p) * TWIST, p)
+    x = F.pmod(F.pmod(c.cast("long"), p) * STEP + F.pmod(F.floor(c.cast("long") / p).cast("long"), p) * TWIST + BEGIN, p)
     for m in more:
         seed = F.pmod(m.cast("long"), p) if isinstance(m, Column) else F.lit(_seed(m)).cast("long")
         x = F.pmod(x * STEP + seed, p)
@@ -41,7 +43,7 @@ def sql_mixed(c: str, *more: object) -> str:
     """DuckDB SQL for ``mixed``; seeds may be numbers, texts in quotes-free form, or SQL in a 1-tuple."""
     p = f"{PRIME}::BIGINT"
     mod = lambda e: f"((({e}) % {p} + {p}) % {p})"
-    steps = [f"({mod(f'({c})::BIGINT')} * {STEP} + {mod(f'floor(({c})::BIGINT / {PRIME})::BIGINT')} * {TWIST}) % {p}"]
+    steps = [f"({mod(f'({c})::BIGINT')} * {STEP} + {mod(f'floor(({c})::BIGINT / {PRIME})::BIGINT')} * {TWIST} + {BEGIN}) % {p}"]
     body = "x"
     for m in more:
         seed = mod(f"({m[0]})::BIGINT") if isinstance(m, tuple) else f"{_seed(m)}::BIGINT"

@@ -299,7 +299,8 @@ def m_kmeans(spark: SparkSession, d: str) -> DataFrame:
     found = written(cluster.kmeans(p, 10)[0], "kmeans")
     sizes = found.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("dist").alias("cost"))
     again = cluster.lloyd_step(p, _means(p, found)).select("cluster", F.col("n").alias("m"))
-    one = cluster.kmeans(p, 1)[0].agg(F.sum("dist").alias("whole"))
+    middle = _means(p, p.select("id", F.lit(0).alias("cluster"))).select(F.col("c").alias("middle"))
+    one = p.crossJoin(F.broadcast(middle)).agg(F.sum(cluster.squared_distance("point", "middle")).alias("whole"))  # one row
     both = sizes.join(again, "cluster", "full").agg(F.sum("n").alias("n_points"), F.count("*").cast("int").alias("n_clusters"), F.bool_and(F.col("n").eqNullSafe(F.col("m"))).alias("settled"), F.sum("cost").alias("cost"))
     return both.crossJoin(F.broadcast(one)).select("n_points", "n_clusters", "settled", (F.col("cost") < F.col("whole")).alias("cheaper"))
 
