@@ -379,11 +379,24 @@ def _counted(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("doc", "w").agg(F.least(F.count("*"), F.lit(topics.MAX_COUNT)).alias("n"))
 
 
-@query("SELECT doc_id AS doc, w, least(count(*), 100) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w FROM documents) GROUP BY 1, 2")
+#: The same in the SQL's dialect, which has no look-around: a letter of a spaceless script with its marks, runs of such, and words.
+_SCRIPTS = r"\p{Han}\p{Hiragana}\p{Katakana}ー\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+
+
+def _words_sql() -> str:
+    # Letters of those scripts: no digits, marks or punctuation, which the script classes also hold.
+    word = rf"[^\P{{L}}{_SCRIPTS}](?:[^\P{{L}}{_SCRIPTS}]|\p{{M}})*"
+    unit = rf"(?:[^\P{{L}}])\p{{M}}*"
+    return f"""raw AS (SELECT doc_id AS doc, lower(text) AS t FROM documents WHERE text IS NOT NULL),
+runs AS (SELECT doc, unnest(regexp_extract_all(regexp_replace(t, '[^\\p{{L}}\\p{{M}}]|[^\\P{{L}}{_SCRIPTS}]', ' ', 'g'), '[^ ]+')) AS run FROM raw),
+units AS (SELECT doc, regexp_extract_all(run, '{unit}') AS u FROM runs),
+tokens AS (SELECT doc, unnest(regexp_extract_all(t, '{word}')) AS w FROM raw
+UNION ALL SELECT doc, unnest(CASE WHEN len(u) = 1 THEN u ELSE list_transform(range(1, len(u)), lambda i: u[i] || u[i + 1]) END) FROM units)"""
+
+
+@query(f"WITH {_words_sql()} SELECT doc, w, least(count(*), 100) AS n FROM tokens GROUP BY 1, 2")
 def m_bag_of_words(spark: SparkSession, d: str) -> DataFrame:
-    """Runs of at least three Latin letters, as its SQL has them; the topic models take all ``words``."""
-    found = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), 0)
-    return _counted(table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.explode(found).alias("w"))).select("doc", "w", F.col("n").cast("long").alias("n"))
+    return words(spark, d).select("doc", "w", F.col("n").cast("long").alias("n"))
 
 
 def _bag(spark: SparkSession, d: str) -> DataFrame:
