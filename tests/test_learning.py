@@ -115,6 +115,19 @@ def test_ratings_with_nulls_and_unknown_users(spark):
         recommend.nmf(r.withColumn("rating", -F.col("rating")), d=2, iterations=1)
 
 
+def test_drawn_pairs_are_made_without_joins(spark, monkeypatch):
+    cells = [(u * 3_000_000_001 - 5 * 10**9, i * 7 - 30, 3.0, "train") for u in range(12) for i in range(40) if (u * i) % 5 < 2 or u == 3]
+    r = spark.createDataFrame([*cells, (77, None, 1.0, "train"), (None, 5, 1.0, "train"), (77, None, 2.0, "train")], "user long, item long, rating double, role string")
+    quick = recommend.implicit_ratings(r, 1.5, 2.5, 0.1, seed=7)
+    # Joins and a distinct of all drawn pairs filled the disk, or the driver if one was taken for a small table.
+    assert "Join" not in quick._jdf.queryExecution().executedPlan().toString()
+    got = rows(quick.filter("weight < 1"))
+    monkeypatch.setattr(recommend, "BROADCAST_ROWS", 0)
+    assert got == rows(recommend.implicit_ratings(r, 1.5, 2.5, 0.1, seed=7).filter("weight < 1")) and len(got) > 100
+    given = [u for u, *_ in cells]
+    assert {u for u, *_ in got} == {u for u in given if given.count(u) < 40} | {77}
+
+
 def test_adpredictor_learns_the_sign(spark):
     clicks = spark.createDataFrame([(i, 1 if i % 2 else -1, f) for i in range(200) for f in (i % 2, 7)], "row_id long, label int, feature long")
     got = {f: (m, s) for f, m, s in rows(recommend.adpredictor(clicks))}

@@ -7,19 +7,20 @@ factors of one side at once.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from weftgraph.algorithms.analytics import hashed
-from weftgraph.functions.draws import mixed
+from weftgraph.functions.draws import mixed, mixed_numbers
 from weftgraph.functions.batches import grouped_vector_sum, map_rows, matrix
 from weftgraph.functions.sparse import cosamp
-from weftgraph.session import written
+from weftgraph.session import BROADCAST_ROWS, written
 
 D = 20
 
@@ -236,22 +237,59 @@ def ccd(ratings: DataFrame, d: int = 5, iterations: int = 2, lam: float = 0.01,
 
 
 # -- the rest ----------------------------------------------------------------------------------------------------------
+def drawn_slots(users: np.ndarray, n: int, draws: int, seed: int) -> np.ndarray:
+    """The places below n that each user (row) draws, in order; several may be the same."""
+    return np.sort((mixed_numbers(users, np.arange(1, draws + 1), seed) % n).astype(np.int32), axis=1)
+
+
+def _drawn_pairs(ratings: DataFrame, listed: np.ndarray, draws: int, seed: int) -> DataFrame:
+    """(user, item): what each user draws from the sorted items without those that it rated. The pairs, many times the ratings,
+    are made where the users' ratings have been gathered, and not moved."""
+    sent = ratings.sparkSession.sparkContext.broadcast(listed)
+    rated = ratings.filter("user IS NOT NULL").groupBy("user").agg(F.collect_set("item").alias("rated"))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, step = sent.value, max(1, 65_536 // draws)
+        n = len(items)
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                b = whole.slice(at, step)
+                users, known = b.column("user").to_numpy(), b.column("rated")
+                cells = drawn_slots(users, n, draws, seed) + (np.arange(len(users)) * n)[:, None]
+                keep = np.ones(cells.shape, bool)
+                keep[:, 1:] = cells[:, 1:] != cells[:, :-1]
+                cells = cells[keep]
+                given = np.repeat(np.arange(len(users)), known.value_lengths().to_numpy()) * n + np.searchsorted(items, known.flatten().to_numpy())
+                place = np.minimum(np.searchsorted(cells, given), len(cells) - 1)
+                cells = np.delete(cells, place[cells[place] == given])
+                row = cells // n
+                yield pa.RecordBatch.from_arrays([pa.array(users[row]), pa.array(items[cells - row * n])], ["user", "item"])
+
+    return rated.select(F.col("user").cast("long"), F.col("rated").cast("array<long>")).mapInArrow(pairs, "user long, item long")
+
+
 def implicit_ratings(ratings: DataFrame, fraction: float, value: float, weight: float = 1.0, seed: int = 0) -> DataFrame:
     """``ratings`` with about fraction * users * items random (user, item) rows of a constant value, none rated already.
 
-    Each user draws its share of items by hash; there is no product of all users and items.
+    Each user draws its share of items by hash; there is no product of all users and items. Up to BROADCAST_ROWS items, the
+    drawn rows aren't shuffled either.
     """
-    users = ratings.filter("user IS NOT NULL").select("user").distinct()
     listed = ratings.filter("item IS NOT NULL").select("item").distinct()
-    from weftgraph.sources.graphs import numbered
-
     n = listed.count()
     if not n:
         return ratings
-    slots = numbered(listed, "item", "place").select("item", (F.col("place") - 1).alias("slot"))
     draws = max(1, round(fraction * n))
-    drawn = users.select("user", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("k")).select("user", F.pmod(mixed(F.col("user"), F.col("k"), seed), F.lit(n)).alias("slot")).distinct()
-    extra = drawn.join(slots, "slot").select("user", "item").join(ratings.select("user", "item").distinct(), ["user", "item"], "left_anti")
+    if n <= BROADCAST_ROWS and isinstance(ratings.schema["item"].dataType, IntegralType):
+        items = np.sort(listed.select(F.col("item").cast("long")).toArrow()["item"].to_numpy())  # counted
+        extra = _drawn_pairs(ratings, items, draws, seed).select(*(F.col(c).cast(ratings.schema[c].dataType) for c in ("user", "item")))
+    else:
+        from weftgraph.sources.graphs import numbered
+
+        users = ratings.filter("user IS NOT NULL").select("user").distinct()
+        slots = numbered(listed, "item", "place").select("item", (F.col("place") - 1).alias("slot"))
+        drawn = users.select("user", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("k")).select("user", F.pmod(mixed(F.col("user"), F.col("k"), seed), F.lit(n)).alias("slot")).distinct()
+        # Sizes of compressed tables are no bound for a broadcast.
+        extra = drawn.join(slots.hint("merge"), "slot").select("user", "item").join(ratings.select("user", "item").distinct().hint("merge"), ["user", "item"], "left_anti")
     made = extra.withColumns({"rating": F.lit(float(value)), "weight": F.lit(float(weight)), "role": F.lit("train")})
     return (ratings if "weight" in ratings.columns else ratings.withColumn("weight", F.lit(1.0))).unionByName(made, allowMissingColumns=True)
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +35,24 @@ def mixed(c: Column, *more: object) -> Column:
     return x
 
 
+def _folded(x: np.ndarray) -> np.ndarray:
+    """Numbers below 2**62 modulo the prime, by its form 2**31 - 1."""
+    for _ in range(2):
+        x = (x & PRIME) + (x >> 31)
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def mixed_numbers(keys: np.ndarray, numbers: np.ndarray, seed: int = 0) -> np.ndarray:
+    """``mixed(key, number, seed)`` of each key (rows) and number (columns)."""
+    keys = keys.astype(np.int64)[:, None]
+    x = _folded(keys % PRIME * STEP + np.floor(keys / PRIME).astype(np.int64) % PRIME * TWIST + BEGIN)
+    x = _folded(_folded(x * STEP) * STEP + _seed(seed)) + _folded(numbers.astype(np.int64) % PRIME * STEP)
+    x = np.where(x >= PRIME, x - PRIME, x)
+    for k in (TWIST, STEP):
+        x = _folded(x * _folded(x + k))
+    return x
+
+
 def draw(c: Column, *more: object) -> Column:
     """A uniform number in (0, 1)."""
     return (mixed(c, *more).cast("double") + 0.5) / float(PRIME)
