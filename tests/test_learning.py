@@ -128,6 +128,17 @@ def test_drawn_pairs_are_made_without_joins(spark, monkeypatch):
     assert {u for u, *_ in got} == {u for u in given if given.count(u) < 40} | {77}
 
 
+@pytest.mark.parametrize("fraction", [0.002, 0.3])
+def test_implicit_als_is_that_of_the_drawn_rows(spark, fraction):
+    r = ratings(spark).unionByName(spark.createDataFrame([(9_000, None, 1.0, "train"), (None, 1, 1.0, "train"), (9_001, 0, None, "predict")], "user long, item long, rating double, role string"))
+    want = list(recommend.als_rounds(recommend.implicit_ratings(r, fraction, 2.5, 0.1), d=3, iterations=2, lam=0.3))
+    for n, got in enumerate(recommend.als_implicit(r, fraction, 2.5, 0.1, d=3, iterations=2, lam=0.3)):
+        for side in ("users", "items"):
+            a, b = (dict(rows(getattr(m, side), "id", "f")) for m in (got, want[n]))
+            assert a.keys() == b.keys() and all(x == pytest.approx(b[i], abs=1e-9) for i, x in a.items())
+    assert n == 1 and got.users.count() == want[1].users.count()  # the last model stays
+
+
 def test_adpredictor_learns_the_sign(spark):
     clicks = spark.createDataFrame([(i, 1 if i % 2 else -1, f) for i in range(200) for f in (i % 2, 7)], "row_id long, label int, feature long")
     got = {f: (m, s) for f, m, s in rows(recommend.adpredictor(clicks))}

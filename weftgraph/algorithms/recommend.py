@@ -18,9 +18,9 @@ from pyspark.sql.types import IntegralType
 
 from weftgraph.algorithms.analytics import hashed
 from weftgraph.functions.draws import mixed, mixed_numbers
-from weftgraph.functions.batches import grouped_vector_sum, map_rows, matrix
+from weftgraph.functions.batches import arrays, grouped_vector_sum, map_rows, matrix, read_batches
 from weftgraph.functions.sparse import cosamp
-from weftgraph.session import BROADCAST_ROWS, written
+from weftgraph.session import BROADCAST_ROWS, forget, written
 
 D = 20
 
@@ -34,6 +34,7 @@ class Model:
     mean: float = 0.0
     kind: str = "dot"
     implicit: DataFrame | None = None
+    few_items: bool = False  # counted, and few enough to be sent to every task
 
 
 def start_factors(ratings: DataFrame, side: str, d: int, seed: int, scale: float = 0.1, positive: bool = False) -> DataFrame:
@@ -53,7 +54,8 @@ def _dot(a: str, b: str) -> Column:
 
 def predict(model: Model, ratings: DataFrame, low: float | None = None, high: float | None = None) -> DataFrame:
     """``ratings`` with ``prediction``, clipped to [low, high]; NULL for a user or item that the model doesn't know."""
-    both = ratings.join(model.users.toDF("user", "uf"), "user", "left").join(model.items.toDF("item", "vf"), "item", "left")
+    items = model.items.toDF("item", "vf")
+    both = ratings.join(model.users.toDF("user", "uf"), "user", "left").join(F.broadcast(items) if model.few_items else items, "item", "left")
     if model.kind == "dot":
         p = _dot("uf", "vf")
     else:
@@ -98,15 +100,19 @@ def als(ratings: DataFrame, d: int = D, iterations: int = 5, lam: float = 0.01,
     reg='ref' leaves the items unregularised but for rounding. A ``weight`` column weighs the rows (weighted ALS).
     sparse: 'user', 'item' or 'both' sides get at most ceil((1 - sparsity) * d) non-zero entries (CoSaMP).
     """
+    return list(als_rounds(ratings, d, iterations, lam, reg, scaled, seed, sparse, sparsity))[-1]
+
+
+def als_rounds(ratings: DataFrame, d: int = D, iterations: int = 5, lam: float = 0.01, reg: str = "both", scaled: bool = True, seed: int = 0, sparse: str | None = None, sparsity: float = 0.8) -> Iterator[Model]:
+    """The models of ``als`` after each iteration."""
     train = training(ratings)
     train = written((train if "weight" in train.columns else train.withColumn("weight", F.lit(1.0))).select("user", "item", "rating", "weight"), "train")
     items = start_factors(train, "item", d, seed, 1.0, positive=True)
     keep = int(np.ceil((1 - sparsity) * d))
-    users = None
     for _ in range(iterations):
         users = _half(train, "user", "item", items, d, lam, scaled, keep if sparse in ("user", "both") else None)
         items = _half(train, "item", "user", users, d, lam if reg == "both" else 1e-9, scaled, keep if sparse in ("item", "both") else None)
-    return Model(users, items)
+        yield Model(users, items)
 
 
 def als_objective(model: Model, ratings: DataFrame) -> float:
@@ -294,6 +300,127 @@ def implicit_ratings(ratings: DataFrame, fraction: float, value: float, weight:
     return (ratings if "weight" in ratings.columns else ratings.withColumn("weight", F.lit(1.0))).unionByName(made, allowMissingColumns=True)
 
 
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The row of each entry of a column of arrays, and the entries."""
+    return np.repeat(np.arange(len(column)), column.value_lengths().to_numpy()), column.flatten().to_numpy(zero_copy_only=False)
+
+
+def _present(cells: np.ndarray, given: np.ndarray) -> np.ndarray:
+    """The first places in the sorted ``cells`` of those ``given`` that are among them."""
+    place = np.minimum(np.searchsorted(cells, given), max(0, len(cells) - 1))
+    return place[cells[place] == given] if len(cells) else place[:0]
+
+
+def _add_products(a: np.ndarray, y: np.ndarray, c: np.ndarray, at: np.ndarray, f: np.ndarray, pick: np.ndarray, r: np.ndarray | float, w: np.ndarray | float) -> None:
+    """To the normal equations of each row named in the sorted ``at``: what the factors picked for it add."""
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else np.zeros(0, int)
+    for i, j in zip(first.tolist(), [*first[1:].tolist(), len(at)], strict=True):
+        g, s = f[pick[i:j]], at[i]
+        if isinstance(w, float):
+            a[s] += w * (g.T @ g)
+            y[s] += w * r * g.sum(axis=0)
+        else:
+            v = g * w[i:j, None]
+            a[s] += v.T @ g
+            y[s] += r[i:j] @ v
+        c[s] += j - i
+
+
+def _solved(a: np.ndarray, y: np.ndarray, c: np.ndarray, lam: float, scaled: bool) -> np.ndarray:
+    return np.linalg.solve(a + (lam * (c if scaled else np.ones_like(c)))[:, None, None] * np.eye(a.shape[1]), y[:, :, None])[:, :, 0]
+
+
+#: Factors of the items are sent to every task: at most this many numbers.
+MOST_NUMBERS = 5_000_000
+
+
+def als_implicit(ratings: DataFrame, fraction: float, value: float, weight: float, d: int = D, iterations: int = 5, lam: float = 0.01, scaled: bool = True, seed: int = 0) -> Iterator[Model]:
+    """The models of ``als_rounds`` over ``implicit_ratings``. A model's tables last until the next is asked for.
+
+    The drawn pairs are nowhere kept: they are drawn again for each half of a round, users' beside their ratings, items' by
+    tasks of a block of items each that read the users' table as a stream.
+    """
+    listed = ratings.filter("item IS NOT NULL").select("item").distinct()
+    n = listed.count()
+    if not 0 < n * d <= MOST_NUMBERS or n > BROADCAST_ROWS or not isinstance(ratings.schema["item"].dataType, IntegralType):
+        yield from als_rounds(implicit_ratings(ratings, fraction, value, weight, seed), d, iterations, lam, scaled=scaled, seed=seed)
+        return
+    spark, draws = ratings.sparkSession, max(1, round(fraction * n))
+    begun = start_factors(ratings, "item", d, seed, 1.0, positive=True)
+    first = begun.orderBy("id").toArrow()  # counted
+    items, factors = first["id"].to_numpy(), matrix(first["f"])
+    row_weight = F.col("weight").cast("double") if "weight" in ratings.columns else F.lit(1.0)
+    used = F.when((F.col("role") == "train") & F.col("item").isNotNull() & F.col("rating").isNotNull(), F.struct(F.col("item").cast("long").alias("item"), F.col("rating").cast("double").alias("r"), row_weight.alias("w")))
+    given = ratings.filter("user IS NOT NULL").groupBy(F.col("user").cast("long").alias("id")).agg(F.collect_set(F.col("item").cast("long")).alias("rated"), F.collect_list(used).alias("t"))
+    given = written(given.select("id", "rated", F.col("t.item").alias("ti"), F.col("t.r").alias("tr"), F.col("t.w").alias("tw")), "given")
+    kept, schema = ["rated", "ti", "tr", "tw"], "id long, f array<double>, rated array<long>, ti array<long>, tr array<double>, tw array<double>"
+    numbers, step = np.arange(1, draws + 1), max(1, 65_536 // draws)
+    at_once = spark.sparkContext.defaultParallelism
+    blocks = min(n, -(-n * d * d // (at_once * 10_000_000)) * at_once)
+    users: DataFrame | None = None
+    for _ in range(iterations):
+        if users is not None:
+            forget(users)
+        sent = spark.sparkContext.broadcast((items, factors))
+
+        def user_half(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            names, f = sent.value
+            for whole in batches:
+                for start in range(0, whole.num_rows, step):
+                    b = whole.slice(start, step)
+                    slots = drawn_slots(b.column("id").to_numpy(), n, draws, seed)
+                    cells = slots + (np.arange(len(slots)) * n)[:, None]
+                    keep = np.ones(cells.shape, bool)
+                    keep[:, 1:] = cells[:, 1:] != cells[:, :-1]
+                    row, item = _flat(b.column("rated"))
+                    keep.ravel()[_present(cells.ravel(), row * n + np.searchsorted(names, item))] = False
+                    g = f[slots]
+                    g[~keep] = 0.0
+                    a, y, c = weight * (g.transpose(0, 2, 1) @ g), weight * value * g.sum(axis=1), keep.sum(axis=1).astype(float)
+                    row, item = _flat(b.column("ti"))
+                    _add_products(a, y, c, row, f, np.searchsorted(names, item), _flat(b.column("tr"))[1], _flat(b.column("tw"))[1])
+                    some = np.flatnonzero(c)
+                    out = b.take(pa.array(some))
+                    yield pa.RecordBatch.from_arrays([out.column("id"), arrays(_solved(a[some], y[some], c[some], lam, scaled)), *(out.column(k) for k in kept)], ["id", "f", *kept])
+
+        users = written(given.mapInArrow(user_half, schema), "users")
+        path, names_sent = users._weft_path, sent
+
+        def item_half(batches: Iterator[pa.RecordBatch], path=path, sent=names_sent) -> Iterator[pa.RecordBatch]:
+            names = sent.value[0]
+            for block in (x for b in batches for x in b.column("id").to_pylist()):
+                low, high = block * n // blocks, (block + 1) * n // blocks
+                a, y, c = np.zeros((high - low, d, d)), np.zeros((high - low, d)), np.zeros(high - low)
+                for b in read_batches(path, min(65_536, max(1, 4_000_000 * blocks // draws))):
+                    users, f, found = b.column("id").to_numpy(), matrix(b.column("f")), []
+                    size = len(users)
+                    for start in range(0, size, step):
+                        x = mixed_numbers(users[start : start + step], numbers, seed) % n
+                        r, q = np.nonzero((x >= low) & (x < high))
+                        found.append((x[r, q] - low) * size + r + start)
+                    cells = np.sort(np.concatenate(found))
+                    cells = cells[np.concatenate(([True], cells[1:] != cells[:-1]))] if len(cells) else cells
+                    row, item = _flat(b.column("rated"))
+                    slot = np.searchsorted(names, item)
+                    mine = (slot >= low) & (slot < high)
+                    cells = np.delete(cells, _present(cells, (slot[mine] - low) * size + row[mine]))
+                    slot = cells // size
+                    _add_products(a, y, c, slot, f, cells - slot * size, value, weight)
+                    row, item = _flat(b.column("ti"))
+                    slot = np.searchsorted(names, item)
+                    mine = np.flatnonzero((slot >= low) & (slot < high))
+                    mine = mine[np.argsort(slot[mine], kind="stable")]
+                    _add_products(a, y, c, slot[mine] - low, f, row[mine], _flat(b.column("tr"))[1][mine], _flat(b.column("tw"))[1][mine])
+                some = np.flatnonzero(c)
+                yield pa.RecordBatch.from_arrays([pa.array(names[low + some]), arrays(_solved(a[some], y[some], c[some], lam, scaled))], ["id", "f"])
+
+        found = written(spark.range(0, blocks, 1, blocks).mapInArrow(item_half, "id long, f array<double>"), "factors")
+        yield Model(users.select("id", "f"), found, few_items=True)
+        new = found.toArrow()
+        factors = factors.copy()
+        factors[np.searchsorted(items, new["id"].to_numpy())] = matrix(new["f"])
+
+
 def adpredictor(clicks: DataFrame, iterations: int = 1, beta: float = 1.0, prior_variance: float = 1.0) -> DataFrame:
     """(feature, mu, sigma2): probit regression on binary features by message passing; clicks: (row_id, label, feature), label +1 or -1,
     the same in all of a row (else +1 holds).

@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet
 from pyspark.sql import DataFrame
 
 
@@ -33,6 +35,15 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
         yield pa.Table.from_batches(held)
 
 
+def read_batches(path: str, rows: int) -> Iterator[pa.RecordBatch]:
+    """A written table in a task, through any file system that pyarrow knows, so many rows at a time."""
+    system, root = pa.fs.FileSystem.from_uri(path)
+    parts = system.get_file_info(pa.fs.FileSelector(root))
+    for part in sorted(x.path for x in parts if x.path.endswith(".parquet")):
+        with system.open_input_file(part) as file:
+            yield from (b for b in pa.parquet.ParquetFile(file).iter_batches(rows, use_threads=False) if b.num_rows)
+
+
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """A column of equally long arrays as rows of a matrix."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

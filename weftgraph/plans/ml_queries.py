@@ -177,8 +177,11 @@ def _checked_als(spark: SparkSession, d: str, fit, slack: float = 1.33) -> DataF
     r = written(clean_ratings(spark, d), "ratings")
     means = recommend.training(r).groupBy("item").agg(F.avg("rating").alias("prediction"))
     plain = recommend.rmse(r.join(means, "item")).select("role", F.col("rmse").alias("plain"))
-    first, last = fit(r, 1), fit(r, 4)
-    falls = recommend.als_objective(last, r) < recommend.als_objective(first, r)
+    last, errors = None, []
+    for n, last in enumerate(fit(r, 4)):
+        if n in (0, 3):
+            errors.append(recommend.als_objective(last, r))
+    falls = errors[-1] < errors[0]
     scored = recommend.rmse(recommend.predict(last, r, 0.5, 5.0)).join(plain, "role")
     return scored.select("role", "n", (F.col("rmse") < F.col("plain") * F.when(F.col("role") == "train", 1.0).otherwise(slack)).alias("better_than_item_means"), F.lit(falls).alias("falls"))
 
@@ -191,23 +194,23 @@ drawn_pairs AS (SELECT "user", item, 2.5::DOUBLE AS rating, 0.1::DOUBLE AS weigh
 
 @query(_KNOWN)
 def m_als(spark: SparkSession, d: str) -> DataFrame:
-    return _checked_als(spark, d, lambda r, n: recommend.als(r, d=20, iterations=n, lam=0.3))
+    return _checked_als(spark, d, lambda r, n: recommend.als_rounds(r, d=20, iterations=n, lam=0.3))
 
 
 @query(_KNOWN)
 def m_weighted_als(spark: SparkSession, d: str) -> DataFrame:
-    return _checked_als(spark, d, lambda r, n: recommend.als(r.withColumn("weight", 1 + hashed(F.col("user"), F.col("item"))), d=20, iterations=n, lam=0.3))
+    return _checked_als(spark, d, lambda r, n: recommend.als_rounds(r.withColumn("weight", 1 + hashed(F.col("user"), F.col("item"))), d=20, iterations=n, lam=0.3))
 
 
 @query(_KNOWN)
 def m_sparse_als(spark: SparkSession, d: str) -> DataFrame:
-    return _checked_als(spark, d, lambda r, n: recommend.als(r, d=20, iterations=n, lam=0.3, sparse="both", sparsity=0.5), 1.6)
+    return _checked_als(spark, d, lambda r, n: recommend.als_rounds(r, d=20, iterations=n, lam=0.3, sparse="both", sparsity=0.5), 1.6)
 
 
 @query(f"""WITH {_TRAIN}, {_drawn_pairs_sql(0.005)}, known AS (SELECT item FROM drawn_pairs UNION SELECT v FROM train) SELECT role, count(*) AS n, TRUE AS better_than_item_means, TRUE AS falls FROM ratings_clean WHERE rating IS NOT NULL AND item IN (SELECT item FROM known) AND "user" IN (SELECT "user" FROM drawn_pairs UNION SELECT u FROM train) GROUP BY role""")
 def m_als_implicit(spark: SparkSession, d: str) -> DataFrame:
     """With random unrated pairs of a middling value and little weight among the training rows."""
-    return _checked_als(spark, d, lambda r, n: recommend.als(recommend.implicit_ratings(r, 0.005, 2.5, 0.1), d=20, iterations=n, lam=0.3))
+    return _checked_als(spark, d, lambda r, n: recommend.als_implicit(r, 0.005, 2.5, 0.1, d=20, iterations=n, lam=0.3))
 
 
 @query(f"""WITH {_RATINGS}, {_drawn_pairs_sql(0.02)} SELECT "user", item, rating, weight FROM drawn_pairs""")
