@@ -7,20 +7,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.algorithms.analytics import hashed, laplacian, normalized_rows
-from weftgraph.algorithms.linalg import svd
-from weftgraph.functions.batches import grouped_vector_sum, matrix
+from weftgraph.algorithms.linalg import SMALL_ENTRIES, svd
+from weftgraph.functions.batches import arrays, grouped_vector_sum, matrix, read_batches
+from weftgraph.functions.eigen import Adjacency, leading
 from weftgraph.graph import Graph
 from weftgraph.operators.neighborhood import top_k
-from weftgraph.session import written
+from weftgraph.session import BROADCAST_ROWS, written
 
 #: k-means without a limit of its own gives up after so many rounds.
 MOST_ROUNDS = 10_000
 #: Centres are sent to every task: at most this many numbers.
 MOST_NUMBERS = 4_000_000
+#: A graph of at most so many edges (half as many if their weights differ) and vertices is decomposed in one task, whose basis
+#: holds so many numbers.
+TASK_EDGES, TASK_VERTICES, TASK_NUMBERS = 12_000_000, 1_500_000, 65_000_000
 
 
 def squared_distance(a: str | Column, b: str | Column) -> Column:
@@ -184,11 +188,54 @@ def similarity_graph(points: DataFrame, sigma: float, t: int | None = None, thre
     return near.filter((F.col("w") >= F.col("li")) | (F.col("w") >= F.col("lj"))).select("i", "j", "w")
 
 
+def _embedded(edges: DataFrame, n_edges: int, weighted: bool, k: int, seed: int) -> DataFrame:
+    """(id, point): spectral_embedding of written edges (src, dst, w), in one task that reads them."""
+    spark, path, numbers = edges.sparkSession, edges._weft_path, TASK_NUMBERS
+
+    def ends() -> tuple[np.ndarray, Adjacency]:
+        src, dst, w, at = np.empty(n_edges, np.int64), np.empty(n_edges, np.int64), np.empty(n_edges if weighted else 0), 0
+        for b in read_batches(path, 1 << 17):
+            src[at : at + b.num_rows], dst[at : at + b.num_rows] = b.column("src").to_numpy(), b.column("dst").to_numpy()
+            if weighted:
+                w[at : at + b.num_rows] = b.column("w").to_numpy()
+            at += b.num_rows
+        ids = np.union1d(np.unique(src), np.unique(dst))
+        src, dst = np.searchsorted(ids, src), np.searchsorted(ids, dst)
+        return ids, Adjacency(len(ids), src, dst, w if weighted else None)
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            pass
+        ids, product = ends()
+        vectors = leading(product, len(ids), k, min(120, numbers // len(ids)), seed)[1]
+        points = vectors[:, product.place].T
+        norms = np.linalg.norm(points, axis=1, keepdims=True)
+        points = points / np.where(norms > 0, norms, 1.0)
+        for a in range(0, len(ids), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + (1 << 16)]), arrays(points[a : a + (1 << 16)])], ["id", "point"])
+
+    found = spark.range(0, 1, 1, 1).mapInArrow(solve, "id long, point array<double>")
+    return found.repartition(spark.sparkContext.defaultParallelism, "id")
+
+
 def spectral_embedding(edges: DataFrame, k: int, weight: str = "w", seed: int = 0) -> DataFrame:
-    """(id, point): the leading k singular vectors of D^-1/2 A D^-1/2 + I, as rows of length 1. edges: (i, j, weight)."""
-    graph = Graph.build(edges.select(F.col("i").alias("src"), F.col("j").alias("dst"), F.col(weight).alias("w")))
-    _, u, _, _ = svd(laplacian(graph, "w", diagonal=1.0), k, seed=seed)
-    return normalized_rows(u).toDF("id", "point")
+    """(id, point): the leading k singular vectors of D^-1/2 A D^-1/2 + I, as rows of length 1. edges: (i, j, weight).
+
+    The matrix is symmetric without negative values, so these are its eigenvectors. Between what the driver decomposes and
+    what needs joins, one task does it; there a value of multiplicity up to k is found as often.
+    """
+    graph = Graph.build(edges.select(F.col("i").alias("src"), F.col("j").alias("dst"), F.col(weight).cast("double").alias("w")))
+    seen = Observation()
+    counts = [F.count("*").alias("n"), F.count("w").alias("n_w"), F.min("w").alias("least"), F.max("w").alias("most"), *(F.approx_count_distinct(c).alias(c) for c in ("src", "dst"))]
+    graph = Graph(graph.vertices, written(graph.edges.select("src", "dst", "w").observe(seen, *counts), "edges"))
+    s = seen.get
+    # The distinct ends are estimates, and together a bound of the vertices.
+    n, vertices, weighted = s["n"], s["src"] + s["dst"], s["least"] != s["most"]
+    small = 2 * n <= SMALL_ENTRIES and vertices <= BROADCAST_ROWS
+    if small or n * (1 + weighted) > TASK_EDGES or vertices > 2 * TASK_VERTICES or s["n_w"] < n or s["least"] <= 0 or not math.isfinite(s["most"]):
+        _, u, _, _ = svd(laplacian(graph, "w", diagonal=1.0), k, seed=seed)
+        return normalized_rows(u).toDF("id", "point")
+    return _embedded(graph.edges, n, weighted, k, seed)
 
 
 def spectral_clustering(points: DataFrame, k: int, sigma: float, t: int | None = 10, threshold: float | None = None, seed: int = 0) -> DataFrame:

@@ -350,11 +350,14 @@ def m_similarity_graph(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {CONSEC} SELECT count(*) AS n_vertices, 3 AS n_clusters, TRUE AS better_than_chance FROM ids")
 def m_partition_graph(spark: SparkSession, d: str) -> DataFrame:
     """Whether fewer edges are cut than by hashed parts of the same number."""
-    g = consecutive_customers(spark, d)
+    g = Graph.build(written(consecutive_customers(spark, d).edges.select("src", "dst"), "consecutive"))
     found = written(cluster.partition_graph(g, 3), "parts")
-    edges = g.edges.select(F.col("src").alias("i"), F.col("dst").alias("j"), F.lit(1.0).alias("w"))
-    chance = found.select("id", F.pmod(mixed(F.col("id")), F.lit(3)).alias("cluster"))
-    return found.agg(F.countDistinct("id").alias("n_vertices"), F.countDistinct("cluster").cast("int").alias("n_clusters")).withColumn("better_than_chance", F.lit(_cut(edges, found) < _cut(edges, chance)))
+    # Both labels of an end in one pass: the hashed one is a function of the id.
+    end = lambda x, label: found.select(F.col("id").alias(x), F.col("cluster").alias(label)).hint("shuffle_hash")
+    placed = g.edges.join(end("src", "a"), "src").join(end("dst", "b"), "dst")
+    chance = lambda x: F.pmod(mixed(F.col(x)), F.lit(3))
+    cut, by_chance = placed.agg(F.count(F.when(F.col("a") != F.col("b"), 1)), F.count(F.when(chance("src") != chance("dst"), 1))).first()
+    return found.agg(F.countDistinct("id").alias("n_vertices"), F.countDistinct("cluster").cast("int").alias("n_clusters")).withColumn("better_than_chance", F.lit(cut < by_chance))
 
 
 @query("SELECT vec_id AS i, list_transform(embedding::DOUBLE[], lambda x: round(x / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda y: y * y))), 6)) AS vector FROM embeddings")
